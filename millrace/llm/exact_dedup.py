@@ -26,7 +26,11 @@ def group_states(arrivals: DataFrame, files_per_batch: int = FILES_PER_BATCH) ->
     spark = arrivals.sparkSession
     at, out, log = (shared.path(spark, f"exact-{x}") for x in ("arrivals", "states", "log"))
     arrivals.write.parquet(at)
-    named = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    named = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space ahead of need
+    }
     before = {k: spark.conf.get(k, None) for k in named}
     try:
         for k, v in named.items():
