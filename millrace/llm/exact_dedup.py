@@ -76,7 +76,7 @@ def exact_duplicates(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) ->
     states = shared.save(group_states(arrivals, files_per_batch), "exact-last")
 
     repeated = states.filter("group_size > 1")
-    hits = rows.withColumn("digest", digest).join(repeated, "digest")
+    hits = shared.save(rows.withColumn("digest", digest).join(repeated, "digest"), "exact-hits")
     shares = F.ceil(F.col("group_size") / F.lit(COMPARED_TOGETHER)).cast("long")
     holders = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "group_size").agg(F.min("text").alias("held_text"))
     holders = holders.select("digest", "held_text", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
