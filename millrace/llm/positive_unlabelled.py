@@ -11,16 +11,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrays import hashes, long, lower, mix, steps, texts, words
+from millrace.llm import shared
+from millrace.llm.arrays import hashes, lower, steps, texts, words
 
 WORD_BITS = 17
+#: First bytes of a longer word that are features of their own: stems in languages that build on them.
+PREFIXES = (4, 5, 6, 7)
 #: What a sampled row is for: training as trusted or unlabelled, calibration by its label.
 TRUSTED, UNLABELLED, ZERO, ONE = range(4)
 #: Of the rows that may be learnt from, one in so many is kept from training and used to calibrate scores.
 CALIBRATION = 4
 #: Bins of each measure of a text, and the measures.
 BINS, MEASURES = 16, 40
-WIDTH = (1 << WORD_BITS) + BINS * MEASURES
+WORDS = (1 + len(PREFIXES)) << WORD_BITS
+WIDTH = WORDS + BINS * MEASURES
 
 #: Kinds of bytes: others, line ends, digits, capitals, bytes above 127, and each of these marks.
 _KINDS = [b"", b"\n", b"0123456789", bytes(range(65, 91)), bytes(range(128, 256)), *(bytes([x]) for x in b"|#$%&*()[]{}<>=+-_/\\~^@:;.,!?\"'")]
@@ -30,7 +34,8 @@ for _k, _bytes in enumerate(_KINDS):
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) of each text: the hashed words in it, A-Z as a-z, and one bin of each measure.
+    """Distinct (row, feature) of each text: the hashed words in it, A-Z as a-z, their first bytes,
+    and one bin of each measure.
 
     Measures: words, distinct words among them, words equal to the one before, mean word length, and the shares of
     line ends, digits, capitals, bytes above 127, and each punctuation mark among the bytes. Empty texts have only
@@ -41,11 +46,14 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, row = words(buf, off)
     low = lower(buf)
     word = hashes(low, starts, ends)
-    order = np.lexsort((word, row))
-    r, w = row[order], word[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-    r, w = r[new], w[new]
+    drop = np.uint64(64 - WORD_BITS)
+    keys = [(row << WORD_BITS) | (word >> drop).astype(np.int64)]
+    for of in PREFIXES:
+        long_enough = ends - starts > of
+        head = hashes(low, starts[long_enough], starts[long_enough] + of)
+        keys.append((row[long_enough] << WORD_BITS) | (head >> drop).astype(np.int64))
+    found = [np.unique(k) for k in keys]
+    r = found[0] >> WORD_BITS
     count = np.bincount(row, minlength=n)
     again = np.zeros(len(word), bool)
     again[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
@@ -65,10 +73,11 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.clip(np.bincount(row, ends - starts, n) / some, 0, BINS - 1).astype(np.int64),
         *(small(kinds[:, k]) for k in range(kinds.shape[1])),
     ]
-    base = (1 << WORD_BITS) + np.arange(len(measures)) * BINS
+    base = WORDS + np.arange(len(measures)) * BINS
     bins = np.stack(measures, axis=1) + base
-    rows = np.concatenate([r, np.repeat(np.arange(n), len(measures))])
-    return rows, np.concatenate([(w >> np.uint64(64 - WORD_BITS)).astype(np.int64), bins.ravel()])
+    rows = [k >> WORD_BITS for k in found]
+    those = [(k & ((1 << WORD_BITS) - 1)) + (i << WORD_BITS) for i, k in enumerate(found)]
+    return np.concatenate([*rows, np.repeat(np.arange(n), len(measures))]), np.concatenate([*those, bins.ravel()])
 
 
 @dataclass
@@ -105,25 +114,26 @@ class Model:
         return Model(self.weight * scale, float((self.bias - centre) * scale + c[1]))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: float, steps_taken: int = 200, rate: float = 0.05, decay: float = 1e-3, telling: float = 3.5, few: float = 1.0) -> Model:
+def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, errors: float = 3.5, few: float = 1.0) -> np.ndarray:
+    """Which features' shares of the n_p positives and the n_u unlabelled differ by at least ``errors`` standard errors.
+
+    ``in_p`` and ``in_u`` count the rows with each feature. Shares below ``few`` rows of the smaller side count as that
+    for the error, so a word of one text tells nothing.
+    """
+    both = (in_p + in_u) / (n_p + n_u)
+    likely = np.maximum(both * (1 - both), few / min(n_p, n_u))
+    return np.abs(in_p / n_p - in_u / n_u) >= errors * np.sqrt(likely * (1 / n_p + 1 / n_u))
+
+
+def fit(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: float, steps_taken: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), l(z) = log(1 + exp(-z)), by Adam.
 
     ``positive`` marks the trusted rows, the others are unlabelled. While the middle difference, the risk on negatives,
-    is below 0, the step goes up its gradient instead. Only features have a weight whose shares among the positives and
-    the unlabelled differ by at least ``telling`` standard errors; shares below ``few`` rows of the smaller side count as
-    that for the error, so a word of a few texts tells nothing.
+    is below 0, the step goes up its gradient instead. ``decay`` pulls the weights to 0.
     """
     n = len(positive)
-    _, feature_of = np.unique(feature, return_inverse=True)
-    columns = np.unique(feature)
+    columns, at = np.unique(feature, return_inverse=True)
     n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    in_p, in_u = np.bincount(feature_of, positive[row]), np.bincount(feature_of, ~positive[row])
-    all_share = (in_p + in_u) / n
-    likely = np.maximum(all_share * (1 - all_share), few / min(n_p, n_u))
-    error = np.sqrt(likely * (1 / n_p + 1 / n_u))
-    keep = np.abs(in_p / n_p - in_u / n_u) >= telling * error
-    at = np.where(keep, np.cumsum(keep) - 1, -1)[feature_of]
-    row, at, columns = row[at >= 0], at[at >= 0], columns[keep]
     w, b = np.zeros(len(columns)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     share_p, share_u = positive / n_p, ~positive / n_u
@@ -163,12 +173,38 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("role").slice(a, b - a), lists], ["doc_id", "role", "features"])
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and how many each row has."""
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    in_p, in_u = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
+    for batch in batches:
+        value, n = _lists(batch.column("features"))
+        role = np.repeat(batch.column("role").to_numpy(), n)
+        in_p += np.bincount(value[role == TRUSTED], minlength=WIDTH)
+        in_u += np.bincount(value[role == UNLABELLED], minlength=WIDTH)
+    some = np.flatnonzero(in_p + in_u)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(in_p[some]), pa.array(in_u[some])], ["feature", "in_p", "in_u"])
+
+
+def _picked(batches: Iterator[pa.RecordBatch], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        value, n = _lists(batch.column("features"))
+        mine = keep[value]
+        total = np.concatenate([[0], np.cumsum(mine)])
+        edges = total[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(value[mine]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("role"), lists], ["doc_id", "role", "features"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, decay: float = 1e-3, sample: int = 12_000, seed: int = 7) -> Model:
     """A model for ``label`` from rows that aren't held out.
 
     Trusted positives are labelled rows with 1; the unlabelled are drawn from all rows of ``docs``, whose labels aren't
     looked at. About ``sample`` rows of each kind are used, chosen by a hash of their doc_id, so the features that reach
-    the driver are bounded. One labelled row in CALIBRATION takes no part in training; its label calibrates the scores. The class prior is the share of 1 among the labelled rows that aren't held out (a doc_id
+    the driver are bounded, and of those only the telling ones. One labelled row in CALIBRATION takes no part in training; its label calibrates the scores. The class prior is the share of 1 among the labelled rows that aren't held out (a doc_id
     labelled twice counts by its largest label), between 0.001 and 0.999; 0.5 without any.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
@@ -188,8 +224,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int,
     tests = marks.filter(aside).filter(chosen(count)).select("doc_id", F.when(F.col("label") == 1, F.lit(ONE)).otherwise(F.lit(ZERO)).alias("role"))
     ids = trusted.unionByName(drawn).unionByName(tests)  # about 2.25 times ``sample`` rows at most: a proven bound
     rows = _text(docs).join(F.broadcast(ids), "doc_id").mapInArrow(_sampled, "doc_id long, role int, features array<int>")
-    got = rows.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("role", "ascending")])
-    lists = pa.concat_arrays(got.column("features").chunks) if len(got) else pa.array([], pa.list_(pa.int32()))
+    rows = shared.save(rows, "labelled-features")
+    n_of = {r.role: r.n for r in rows.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n_of.get(TRUSTED) or not n_of.get(UNLABELLED):
+        return Model(np.zeros(WIDTH), float(np.log(prior / (1 - prior))))
+    counts = rows.mapInArrow(_counted, "feature int, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")).toArrow()
+    picked = telling(counts.column("in_p").to_numpy(), counts.column("in_u").to_numpy(), n_of[TRUSTED], n_of[UNLABELLED])
+    keep = np.zeros(WIDTH, bool)
+    keep[counts.column("feature").to_numpy()[picked]] = True
+    got = rows.mapInArrow(partial(_picked, keep=keep), "doc_id long, role int, features array<int>").toArrow()
+    got = got.combine_chunks().sort_by([("doc_id", "ascending"), ("role", "ascending")])
+    lists = pa.concat_arrays(got.column("features").chunks)
     role = got.column("role").to_numpy()
     feature = lists.flatten().to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(got)), np.diff(lists.offsets.to_numpy()))
@@ -199,8 +244,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int,
         return (np.cumsum(mine) - 1)[row[mine[row]]], feature[mine[row]], role[mine]
 
     at, what, kind = of(TRUSTED, UNLABELLED)
-    if len(np.unique(kind)) < 2:
-        return Model(np.zeros(WIDTH), float(np.log(prior / (1 - prior))))
     model = fit(at, what, kind == TRUSTED, prior, decay=decay)
     at, what, kind = of(ZERO, ONE)
     return model.calibrated(model.margin(at, what, len(kind)), kind == ONE)
