@@ -15,6 +15,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import shared
+
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 
@@ -170,6 +172,7 @@ def encode(docs: DataFrame, vocabulary: Broadcast, pattern: str) -> DataFrame:
     Each match of ``pattern`` is encoded on its own; text that is a special token elsewhere is ordinary text here. A
     null or empty text has no ids; repeated rows give repeated rows; empty tables give none; other columns aren't read.
     """
+    shared.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(partial(_encode, vocabulary=vocabulary, pattern=pattern), "doc_id long, n_tokens long, ids binary")
 

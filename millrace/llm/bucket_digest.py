@@ -11,6 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import shared
 from millrace.llm.arrays import STEP_BYTES, steps
 
 BUCKETS = 128
@@ -127,6 +128,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of a range go to the range before it as well, so no row passes through more than two tasks. A single row is its own
     next. Null texts are empty; an empty table gives no rows; other columns are not read.
     """
+    shared.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()

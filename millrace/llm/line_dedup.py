@@ -115,6 +115,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     Rows equal in doc_id and text are one document. Null texts are empty texts; an empty table gives no rows; other
     columns are not read.
     """
+    shared.small_batches(docs.sparkSession)
     n = F.char_length("line")
     halves = F.when(n >= NEAR_CHARS, F.array(*_half_keys(n)))
     keyed = _lines(docs).select("h1", "h2", "place", F.struct("place", n.alias("n"), halves.alias("halves")).alias("s"))

@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 
 #: Documents that one bucket rounds, about, and buckets whose residuals one node of the tree combines.
-BUCKET_ROWS, FAN_IN = 20_000, 64
+BUCKET_ROWS, FAN_IN = 4_000, 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:

@@ -207,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int,
     the driver are bounded, and of those only the telling ones. One labelled row in CALIBRATION takes no part in training; its label calibrates the scores. The class prior is the share of 1 among the labelled rows that aren't held out (a doc_id
     labelled twice counts by its largest label), between 0.001 and 0.999; 0.5 without any.
     """
+    shared.small_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     marks = marks.filter(~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max("label").alias("label"))
     count, ones = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()

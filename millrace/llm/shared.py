@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,6 +21,12 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_ROWS rows at most: texts may be long, and a batch is in memory whole on both sides."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def path(spark: SparkSession, name: str) -> str:
     """A path that no other call returns."""
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -33,7 +33,7 @@ def rows():
     return [*out, (5000, "", "none", None), (5, "w w", "b", "x"), (5, "w w", "b", "x"), (None, "w\tw", None, None)]
 
 
-@pytest.mark.parametrize("bucket", [20_000, 10])
+@pytest.mark.parametrize("bucket", [4_000, 10])
 def test_targets_and_bounds(spark, monkeypatch, bucket):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
     monkeypatch.setattr(mixing, "FAN_IN", 3 if bucket == 10 else 64)
