@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -48,8 +48,9 @@ def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 
 def _links(group: pa.Table, words: int, percent: int) -> pa.Table:
-    """Edges (a, b) of a spanning forest of the links among the group's documents."""
-    group = group.combine_chunks()
+    """Edges (a, b) of a spanning forest of the links among the group's documents; b is the group's hub, if it has one,
+    for all documents that its links reach."""
+    group = group.combine_chunks().sort_by([("hub", "descending"), ("node", "ascending")])
     node = group.column("node").to_numpy()
     buf, off = texts(group.column("text").combine_chunks() if isinstance(group.column("text"), pa.ChunkedArray) else group.column("text"))
     parts = [(r + a, v) for a, b in steps(off) for r, v in [shingles(buf[off[a] : off[b]], off[a : b + 1] - off[a], words)]]
@@ -78,7 +79,7 @@ def _links(group: pa.Table, words: int, percent: int) -> pa.Table:
     linked = (100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common.astype(np.int64))) & (size[:, None] > 0) & (size[None, :] > 0)
     root = np.arange(len(node))
     todo = once.copy()
-    for i in np.flatnonzero(once):
+    for i in np.flatnonzero(once):  # the hub is the first row
         if not todo[i]:
             continue
         todo[i] = False
@@ -90,6 +91,28 @@ def _links(group: pa.Table, words: int, percent: int) -> pa.Table:
     return pa.table({"a": node[far], "b": node[root[far]]})
 
 
+def _large_links(large: DataFrame, banded: DataFrame, linked: Callable[..., DataFrame]) -> DataFrame:
+    """Edges of candidate groups of several blocks.
+
+    First each block is compared with the group's hub, the class that shares most bands: in a group of copies of one
+    text nearly all link to it. Only the classes that don't are then compared with the whole group, block by block.
+    """
+    mine = banded.join(large.select("node").distinct(), "node", "left_semi").distinct()
+    common = mine.join(mine.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band").groupBy("node").agg(F.sum("n").alias("n"))
+    hubs = large.join(common, "node").groupBy("root").agg(F.max(F.struct("n", "node"))["node"].alias("hub_node"))
+    marked = large.join(hubs, "root").withColumn("hub", F.col("node") == F.col("hub_node"))
+    everywhere = marked.filter("hub").select("node", "text", "hub", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    by_hub = shared.save(linked(marked.filter("NOT hub").select("node", "text", "hub", "root", "block").unionByName(everywhere), "root", "block"), "near-hub-links")
+
+    settled = by_hub.join(hubs, F.col("b") == F.col("hub_node"), "left_semi").select(F.col("a").alias("node"))
+    open_ = shared.save(marked.filter("NOT hub").join(settled, "node", "left_anti").select("node", "text", "root", "blocks"), "near-open")
+    parts = open_.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("parts"))
+    apart = F.lit(False).alias("hub")
+    some = open_.join(parts, "root").select("node", "text", apart, "root", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    all_ = large.join(parts, "root").select("node", "text", apart, "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block")
+    return by_hub.unionByName(linked(some.unionByName(all_), "root", "part", "block"))
+
+
 def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -99,12 +122,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 
     Documents link when 100 * |A and B| >= percent * |A or B| over their distinct ``words``-word shingles (A-Z as a-z).
     Equal sets are one class, known by a 64-bit digest. Classes that share a band form candidate groups, and inside a
-    group every pair is compared on full sets: a group over BLOCK classes in pairs of blocks, each pair of blocks in a
-    task of its own; tasks return a spanning forest of the links, not the pairs. component_id is the least doc_id
+    group classes are compared on full sets: a group over BLOCK classes first block by block with its hub, then those
+    that the hub doesn't reach with all, each pair of blocks in a task of its own; tasks return a spanning forest of the
+    links, not the pairs. component_id is the least doc_id
     reachable. Texts without words link with nothing. Rows that repeat a doc_id share a verdict; a row without doc_id
     links like any other by an equal set, otherwise it stands alone, and its kept is false if the component has a
     doc_id. An empty table gives no rows; other columns are not read.
     """
+    shared.small_batches(docs.sparkSession)
     prints = shared.save(_text(docs).mapInArrow(partial(_prints, words=words), "doc_id long, n_shingles long, node long, bands array<long>"), "near-prints")
     some = prints.filter("n_shingles > 0")
     classes = shared.save(some.groupBy("node").agg(F.min("doc_id").alias("low")), "near-classes")
@@ -115,14 +140,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 
     groups = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     blocks = stars.groupBy("root").agg(F.ceil((F.count(F.lit(1)) + 1) / F.lit(BLOCK)).cast("long").alias("blocks"))
-    members = groups.join(blocks, "root").join(classes, "node").select("low", "node", "root", "blocks")
-    members = _text(docs).join(members.withColumnRenamed("low", "doc_id"), "doc_id").select("node", "root", "text", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    members = members.select("node", "text", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    members = groups.join(blocks, "root").join(classes, "node").select(F.col("low").alias("doc_id"), "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    members = shared.save(_text(docs).join(members, "doc_id").select("node", "root", "text", "blocks", "block"), "near-members")
 
     def forest(group: pa.Table) -> pa.Table:
         return _links(group, words, percent)
 
-    links = members.groupBy("root", "i", "j").applyInArrow(forest, "a long, b long")
+    def linked(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.select("node", "text", "hub", *by).groupBy(*by).applyInArrow(forest, "a long, b long")
+
+    links = linked(members.filter("blocks = 1").withColumn("hub", F.lit(False)), "root")
+    large = members.filter("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(_large_links(large, banded, linked))
     merged = components(links, "near-links")
 
     roots = classes.join(merged, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
