@@ -26,6 +26,9 @@ LENGTH, WINDOW, GRAM = 400, 128, 8
 #: Bytes right of a trigger that every string of its run holds.
 CORE = LENGTH + 1 - WINDOW
 
+#: Different contexts of one core that one task compares; a core with more has its single strings counted by a shuffle.
+OFTEN = 2_000
+
 _ROW = "doc_id long, text_hash long"
 
 
@@ -84,23 +87,100 @@ def _contexts(batches: Iterator[pa.RecordBatch], seen: np.ndarray) -> Iterator[p
         )
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A 128-bit digest of each string of the given runs of a row."""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each context that a row of text stands for, with the columns of its run."""
     for batch in batches:
         for i in range(batch.num_rows):
-            raw = batch.column("text")[i].as_py().encode()
-            out = []
-            for run in batch.column("runs")[i].as_py():
-                for at in range(run["first"], run["last"] + 1):
-                    d = xxhash.xxh3_128_intdigest(raw[at : at + LENGTH])
-                    out.append((d >> 64, d & ((1 << 64) - 1), at, run["times"]))
-            if out:
-                k1, k2, at, times = zip(*out, strict=True)
-                row = pa.array(np.full(len(out), i))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array(long(np.array(k1, np.uint64))), pa.array(long(np.array(k2, np.uint64))), pa.array(at, pa.int64()), pa.array(times, pa.int64())],
-                    ["doc_id", "text_hash", "k1", "k2", "at", "times"],
-                )
+            raw, listed = batch.column("text")[i].as_buffer().to_pybytes(), batch.column("runs")[i].as_py()
+            row = pa.array(np.full(len(listed), i))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(row), batch.column("text_hash").take(row), *(pa.array([r[k] for r in listed], pa.int64()) for k in ("core", "kinds", "times", "first")), pa.array([raw[r["first"] : r["last"] + LENGTH] for r in listed], pa.binary())],
+                ["doc_id", "text_hash", "core", "kinds", "times", "first", "context"],
+            )
+
+
+def _digests(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 128-bit digest of each string of some contexts, as two halves, and how many strings each context has."""
+    n = np.array([len(c) - LENGTH + 1 for c in contexts], np.int64)
+    raw = b"".join([xxhash.xxh3_128_digest(c[i : i + LENGTH]) for c in contexts for i in range(len(c) - LENGTH + 1)])
+    halves = np.frombuffer(raw, "<i8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy(), n
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each string of the contexts of a core that is too frequent for one task."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            k1, k2, n = _digests(part.column("context").to_pylist())
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            place = np.arange(len(k1)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("text_hash").take(row), pa.array(k1), pa.array(k2), pa.array(part.column("first").take(row).to_numpy() + place), part.column("times").take(row)], ["doc_id", "text_hash", "k1", "k2", "at", "times"])
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of starts, in contexts that stand once, of strings that another context of the same core has too.
+
+    Rows come in the order of their cores; a batch's last core waits for the next batch, and has OFTEN rows at most.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        if not len(rows):
+            continue
+        core = rows.column("core").to_numpy()
+        whole = int(np.searchsorted(core, core[-1]))
+        held = rows.slice(whole)
+        for a in _core_steps(core[:whole]):
+            yield _ranges(rows.slice(*a))
+    if held is not None:
+        yield _ranges(held)
+
+
+def _core_steps(core: np.ndarray, most: int = 300) -> Iterator[tuple[int, int]]:
+    """Parts (place, length) of about ``most`` rows that don't split a core."""
+    first = 0
+    while first < len(core):
+        last = int(np.searchsorted(core, core[min(first + most, len(core)) - 1], "right"))
+        yield first, last - first
+        first = last
+
+
+def _suffix_order(contexts: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of some contexts, whose strings are ordered by their LENGTH bytes, and whether each has its
+    first LENGTH bytes in common with the one before it."""
+    whole = np.frombuffer(b"".join(contexts), np.uint8)
+    begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+    starts = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    views = np.lib.stride_tricks.as_strided(whole, (len(whole) - LENGTH + 1, LENGTH), (1, 1))
+    strings = views[starts].view(f"S{LENGTH}").ravel()
+    order = np.argsort(strings, kind="stable")
+    strings = strings[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = strings[1:] == strings[:-1]
+    return order, same
+
+
+def _ranges(rows: pa.Table) -> pa.RecordBatch:
+    contexts = rows.column("context").to_pylist()
+    n = np.array([len(c) - LENGTH + 1 for c in contexts], np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    times = rows.column("times").to_numpy()[row]
+    order, same = _suffix_order(contexts, n)
+    group = np.cumsum(~same) - 1
+    again = np.zeros(len(order), bool)
+    again[order] = np.bincount(group, times[order])[group] > 1
+    some = np.flatnonzero(again & (times == 1))
+    opens = np.ones(len(some), bool)
+    opens[1:] = (some[1:] != some[:-1] + 1) | (row[some][1:] != row[some][:-1])
+    heads = some[opens]
+    tails = some[np.append(np.flatnonzero(opens)[1:] - 1, len(some) - 1)] if len(some) else some
+    of = pa.array(row[heads])
+    start = rows.column("first").to_numpy()[row[heads]]
+    table = rows.combine_chunks()
+    one = lambda name: pa.concat_arrays(table.column(name).chunks).take(of)
+    return pa.RecordBatch.from_arrays([one("doc_id"), one("text_hash"), pa.array(start + at[heads]), pa.array(start + at[tails])], ["doc_id", "text_hash", "first", "last"])
 
 
 def covered(first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +221,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     strings lie within one text and are judged on the input. Repeated rows count as texts of their own, so all of each
     goes if it is long enough. Null texts are empty; an empty table gives no rows; other columns are not read.
     """
+    shared.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     whole = f"{_ROW}, text string"
@@ -156,18 +237,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     placed = contexts.join(entries, ["core", "context"])
     whole_runs = placed.filter("times > 1").select("doc_id", "text_hash", "first", "last")
 
-    lone = placed.filter("times = 1").select("doc_id", "text_hash", "first", "last", "times")
-    named = F.struct("doc_id", "text_hash", "first", "last")
-    several = placed.filter("times > 1 AND kinds > 1").groupBy("core", "context", "times").agg(F.min(named).alias("one")).select("one.*", "times")
-    ordered = lone.unionByName(several).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last", "times")).alias("runs"))
-    ordered = shared.save(ordered, "repeat-ordered")
-    likely = rows.mapInArrow(partial(_only, rows=slots.bitmap(ordered, "text_hash"), inside=True), whole)
-    same_row = ["doc_id", "text_hash"]
-    texts_of = likely.dropDuplicates(same_row).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")
-    to_order = ordered.join(texts_of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("doc_id", "text_hash", "text", "runs")
-    strings = shared.save(to_order.mapInArrow(_strings, f"{_ROW}, k1 long, k2 long, at long, times long"), "repeat-strings")
+    one = F.struct("doc_id", "text_hash", "first", "last")
+    several = placed.filter("times > 1 AND kinds > 1").groupBy("core", "context", "kinds", "times").agg(F.min(one).alias("one")).select("one.*", "core", "kinds", "times")
+    stands = placed.filter("times = 1").select("doc_id", "text_hash", "first", "last", "core", "kinds", "times").unionByName(several)
+    listed = stands.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last", "core", "kinds", "times")).alias("runs"))
+    listed = shared.save(listed, "repeat-listed")
+    likely = rows.mapInArrow(partial(_only, rows=slots.bitmap(listed, "text_hash"), inside=True), whole)
+    texts_of = likely.dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")
+    dictionary = listed.join(texts_of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("doc_id", "text_hash", "text", "runs")
+    dictionary = dictionary.mapInArrow(_entries, f"{_ROW}, core long, kinds long, times long, first long, context binary")
+    dictionary = shared.save(dictionary, "repeat-dictionary")
+    by_core = dictionary.filter(F.col("kinds") <= OFTEN).repartition("core").sortWithinPartitions("core")
+    single = by_core.mapInArrow(_matched, f"{_ROW}, first long, last long")
+    strings = dictionary.filter(F.col("kinds") > OFTEN).mapInArrow(_strings, f"{_ROW}, k1 long, k2 long, at long, times long")
     repeated = strings.groupBy("k1", "k2").agg(F.sum("times").alias("all_times")).filter("all_times > 1").select("k1", "k2")
-    single = strings.filter("times = 1").join(repeated, ["k1", "k2"]).select("doc_id", "text_hash", F.col("at").alias("first"), F.col("at").alias("last"))
+    frequent = strings.filter("times = 1").join(repeated, ["k1", "k2"]).select("doc_id", "text_hash", F.col("at").alias("first"), F.col("at").alias("last"))
+    single = single.unionByName(frequent)
 
     spans = whole_runs.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = shared.save(spans, "repeat-spans").withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")

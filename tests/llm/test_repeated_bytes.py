@@ -3,7 +3,9 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
+from millrace.llm import repeated_bytes
 from millrace.llm.repeated_bytes import LENGTH, without_repeats
 
 
@@ -36,7 +38,9 @@ def fixture():
     return [*rows, (23, "a" * 2000), (None, text(20) + other)]
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("often", [2000, 1])
+def test_equals_brute_force(spark, monkeypatch, often):
+    monkeypatch.setattr(repeated_bytes, "OFTEN", often)
     rows = fixture()
     docs = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, core int").repartition(3)
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in without_repeats(docs).collect())
