@@ -20,8 +20,8 @@ from millrace.llm import shared
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 
-#: Pre-tokens that a worker remembers before it starts over.
-REMEMBERED = 1 << 18
+#: Pre-tokens of one generation of a worker's memory, which holds two.
+REMEMBERED = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -117,13 +117,25 @@ def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Pre-token to packed ids, found on first use."""
+    """Pre-token to packed ids, found on first use.
+
+    Once a generation is full it becomes the old one, from which what is used again moves to the new one.
+    """
 
     def __init__(self, tokens: list[bytes], whole: PerfectHash) -> None:
         self.whole = whole
         self.rank = {t: i for i, t in enumerate(tokens)}
+        self.old: dict[str, bytes] = {}
+
+    def trim(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, pre_token: str) -> bytes:
+        if (held := self.old.get(pre_token)) is not None:
+            self[pre_token] = held
+            return held
         raw = pre_token.encode()
         one = self.whole.find(raw)
         packed = np.array([one] if one is not None else merge(raw, self.rank), "<u4").tobytes()
@@ -147,8 +159,7 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, pattern: s
         packed = []
         for text in batch.column("text"):
             packed.append(b"".join(map(ids.__getitem__, split(text.as_py() or ""))))
-            if len(ids) > REMEMBERED:
-                ids.clear()
+            ids.trim()
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
 

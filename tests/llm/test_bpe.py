@@ -44,3 +44,12 @@ def test_rows(spark):
         want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.round_trip(docs.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_memory_keeps_what_is_used(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    ids = bpe.Encoder(TOKENS, WHOLE)
+    for word in ["the", "quick", "brown", "fox", "the", "jumps", "quixotry", "the", "zyzzyvas", "fox"] * 3:
+        assert np.frombuffer(ids[word], "<u4").tolist() == KNOWN.encode_ordinary(word)
+        ids.trim()
+        assert len(ids) <= 3 and len(ids.old) <= 4
