@@ -15,11 +15,19 @@ from pyspark.sql import functions as F
 from millrace.llm import shared
 from millrace.llm.arrays import hashes, long, lower, mix, steps, texts, words
 from millrace.llm.positive_unlabelled import held_out
+from millrace.llm.slots import among, bitmap
 
 PARTS, HELD_OUT = 10, 0
-#: Least share of all training tokens of a context, of a context with its next word, and of a word that is looked up in
-#: memory. At most 1 / share of each exist, whatever the input; rarer words are counted and scored by joins.
-CONTEXT_SHARE, NEXT_SHARE, WORD_SHARE = 1e-4, 1e-6, 1e-6
+#: Least share of all training tokens of a word that is looked up in memory: at most 1 / share exist, whatever the input.
+#: Rarer words are counted and scored by joins.
+WORD_SHARE = 1e-6
+#: Occurrences that a context needs to be tested, and that it needs with a next word for that to be listed; they don't
+#: depend on the size of the input.
+CONTEXT_COUNT, NEXT_COUNT = 8, 2
+#: Contexts and next words that are looked up in memory, the most frequent ones; all others are scored by joins.
+HOT = 1 << 20
+#: Tokens whose contexts and next words are counted together in a task.
+COUNTED = 1 << 20
 #: Weight, in tokens, of the shorter context in a context's next-word shares.
 PRIOR_TOKENS = 20.0
 #: Standard errors by which a context's divergence from the shorter one must exceed what chance gives.
@@ -57,56 +65,88 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Contexts of one length: sorted keys, the weight of what isn't listed (log10), and listed next words."""
+    """Sequences of one length that are looked up in memory: sorted keys, the weight of what isn't listed after each as a
+    context (log10), and what each adds to its last word's log10 probability in the shorter context."""
 
-    contexts: np.ndarray
+    keys: np.ndarray
     rest: np.ndarray
-    nexts: np.ndarray
-    logs: np.ndarray
+    gain: np.ndarray
+    kept: np.ndarray
+
+    @property
+    def contexts(self) -> np.ndarray:
+        return self.keys[self.kept]
 
 
 @dataclass
 class Model:
-    """The tree: words with their log10 share at the root, then contexts of one and of two words."""
+    """What is looked up in memory: words with their log10 share at the root, and the most frequent sequences by length;
+    of the others a bitmap of contexts and one of all. ``weights`` has all sequences."""
 
     words: np.ndarray
     root: np.ndarray
     levels: list[Level]
+    contexts: np.ndarray
+    others: np.ndarray
 
-    def scores(self, token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token's probability beyond its root share, and its place among the words, or -1.
+    def found(self, token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """log10 of each token's probability beyond its root share as far as memory tells, its place among the words, or
+        -1, and for each length the tokens and keys of the sequences that may be in ``weights`` but not in memory.
 
-        A token is scored in the longest retained context that its history ends with; a next word that isn't listed
-        there has the context's rest weight times its probability in the next shorter one.
+        A next word that isn't listed in a context has the context's rest weight times its probability in the next
+        shorter one; ``gain`` undoes the rest weight and the shorter context's probability. So the sum over all retained
+        contexts that the history ends with is the log probability in the longest.
         """
         word = _find(self.words, token)
         beyond = np.zeros(len(token))
-        settled = np.zeros(len(token), bool)
-        root = np.where(word >= 0, self.root[word] if len(self.root) else 0.0, 0.0)
-        for depth in range(len(self.levels), 0, -1):
-            level = self.levels[depth - 1]
-            key, known = contexts(token, first, depth)
-            at = np.where(known & ~settled, _find(level.contexts, key), -1)
+        last = np.zeros(len(token), bool)
+        last[np.append(first[1:], len(token))[np.diff(np.append(first, len(token))) > 0] - 1] = True
+        after = np.arange(1, len(token) + 1)
+        left = []
+        inside = np.ones(len(token), bool)
+        for length, level in enumerate(self.levels, 1):
+            key, known = sequences(token, first, length)
+            at = np.full(len(token), -1)
+            ask = np.flatnonzero(known & inside)
+            at[ask] = _find(level.keys, key[ask])
             here = np.flatnonzero(at >= 0)
-            place = _find(level.nexts, _pair(key[here], token[here]))
-            listed = (place >= 0) & (word[here] >= 0)
-            beyond[here[~listed]] += level.rest[at[here[~listed]]]
-            beyond[here[listed]] += level.logs[place[listed]] - root[here[listed]]
-            settled[here[listed]] = True
-        return beyond, word
+            beyond[here] += level.gain[at[here]]
+            goes_on = here[~last[here]]
+            beyond[after[goes_on]] += level.rest[at[goes_on]]
+            miss = ask[at[ask] < 0]
+            if length > 1:
+                miss = miss[among(self.others, long(key[miss]))]
+                left.append((miss, key[miss]))
+            context = np.zeros(len(token), bool)
+            context[here] = level.kept[at[here]]
+            context[miss] = among(self.contexts, long(key[miss]))
+            inside = context.copy()  # a longer context ends with a retained one, a listed next word stands after one
+            inside[1:] |= context[:-1]
+            if length == 1:
+                inside[first[first < len(token)]] = True  # END stands before
+        start = _find(self.levels[0].keys, np.array([END]))[0] if self.levels else -1
+        if start >= 0:
+            beyond[first[first < len(token)]] += self.levels[0].rest[start]
+        return beyond, word, left
+
+    def scores(self, token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.found(token, first)[:2]
+
 
+def sequences(token: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the ``length`` tokens that end with each token, and whether there are so many; END stands before the first.
 
-def contexts(token: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the ``depth`` tokens before each token, and whether there are so many; END stands before the first."""
+    The key of a longer sequence is made of those of its two parts without the last and without the first token.
+    """
     place = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
-    before = np.empty_like(token)
-    before[1:], before[:1] = token[:-1], END
-    before[first] = END
-    if depth == 1:
-        return before, np.ones(len(token), bool)
-    second = np.empty_like(token)
-    second[1:], second[:1] = before[:-1], END
-    return _pair(second, before), place >= 1
+    key = token
+    for n in range(1, length):
+        before = np.empty_like(key)
+        before[1:], before[:1] = key[:-1], END
+        if n == 1:
+            before[first[first < len(token)]] = END
+        key = _pair(before, key)
+    return key, place >= length - 2
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -126,43 +166,118 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(long(key)), pa.array(n)], ["word", "n"])
 
 
+def _before(x: np.ndarray, n: int = 1) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[n:] = x[:-n] if n < len(x) else x[:0]
+    return out
+
+
 def _nexts(batches: Iterator[pa.RecordBatch], known: Broadcast, depth: int) -> Iterator[pa.RecordBatch]:
-    """How often each listed word follows each candidate context, both by their places in the tables."""
-    table, listed = known.value
+    """How often each word follows each context of ``depth`` words that may be tested: the keys of the context and of the
+    sequence without the context's first word.
+
+    ``known`` has bitmaps: for one word of the contexts and next words with enough occurrences; beyond of the retained
+    contexts one word shorter, and of the pairs of words with enough occurrences, of which one must start the context.
+    """
+    one, two = known.value
+    context, up, n = [], [], []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        c, u, m = (np.concatenate(x) for x in (context, up, n))
+        _, at, back = np.unique(_pair(c, u), return_index=True, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(long(c[at])), pa.array(long(u[at])), pa.array(np.bincount(back, m).astype(np.int64))], ["context", "up", "n"])
+
     for batch in batches:
         buf, off = texts(batch.column("text"))
-        found = []
         for a, b in steps(off):
             token, _, first = sequence(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-            key, some = contexts(token, first, depth)
-            at, word = np.where(some, _find(table, key), -1), _find(listed, token)
-            both = (at >= 0) & (word >= 0)
-            found.append(np.unique(at[both] << 32 | word[both], return_counts=True))
-        if found:
-            key, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([c for _, c in found]), len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["context", "word", "n"])
+            last, some = sequences(token, first, depth)
+            c = _before(last)
+            if depth == 1:
+                c[first[first < len(token)]] = END
+                good = among(one, long(c)) & among(two, long(last))
+            else:
+                good = _before(some)
+                good[first[first < len(token)]] = False
+                shorter, pair = sequences(token, first, depth - 1)[0], sequences(token, first, 2)[0]
+                at = np.flatnonzero(good)
+                at = at[among(one, long(shorter[at - 1]))]
+                good = at[among(two, long(pair[at - depth + 1]))]
+            key, at, times = np.unique(_pair(c[good], last[good]), return_index=True, return_counts=True)
+            context.append(c[good][at])
+            up.append(last[good][at])
+            n.append(times)
+            held += len(key)
+            if held >= COUNTED:
+                yield out()
+                context, up, n, held = [], [], [], 0
+    if held:
+        yield out()
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        context, up = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "up"))
+        yield pa.RecordBatch.from_arrays([pa.array(long(_pair(context, up))), *batch.columns], ["key", *batch.schema.names])
 
 
-def _level(table: np.ndarray, total: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray, shorter: np.ndarray, listed: np.ndarray) -> tuple[Level, np.ndarray]:
-    """The contexts of ``table`` that diverge from their shorter ones, and which they are.
+def _level(nexts: DataFrame, totals: DataFrame, shorter: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The contexts that diverge from their shorter ones (context, total, rest), and their listed next words (key,
+    context, n, prob, gain).
 
-    ``total`` counts each context's occurrences, ``n`` those of listed next words, ``shorter`` is the next word's
-    probability in the shorter context. The test is a likelihood ratio over the listed words and all others together.
+    ``nexts`` (context, up, n) are the candidates, ``totals`` (context, total) their occurrences, ``shorter`` (up,
+    shorter) each next word's probability in the shorter context, which is retained. The test is a likelihood ratio over
+    the listed words and all others together.
     """
-    size = len(table)
-    held, expected = np.bincount(context, n, size), np.bincount(context, shorter, size)
-    others, rest_expected = np.maximum(total - held, 0), np.maximum(1 - expected, 1e-12)
-    ratio = 2.0 * np.bincount(context, n * np.log(n / (total[context] * shorter)), size)
-    ratio = ratio + 2 * np.where(others > 0, others * np.log(np.maximum(others, 1e-12) / (total * rest_expected)), 0)
-    free = np.bincount(context, minlength=size)
-    keep = (free > 0) & (ratio > free + DIVERGENCE * np.sqrt(2 * free))
-    share = (n + PRIOR_TOKENS * shorter) / (total[context] + PRIOR_TOKENS)
-    rest = np.maximum(1 - np.bincount(context, share, size), 1e-12) / rest_expected
-    mine = keep[context]
-    nexts = _pair(table[context[mine]], listed[word[mine]])
-    order = np.argsort(nexts)
-    return Level(table[keep], np.log10(rest[keep]), nexts[order], np.log10(share[mine])[order]), keep
+    listed = nexts.filter(F.col("n") >= NEXT_COUNT).join(totals.filter(F.col("total") >= CONTEXT_COUNT), "context").join(shorter, "up")
+    listed = shared.save(listed.select("context", "up", "n", "total", "shorter"), f"tree-listed-{depth}")
+    held = listed.groupBy("context").agg(F.max("total").alias("total"), F.sum("n").alias("held"), F.sum("shorter").alias("expected"), F.sum(F.col("n") * F.log(F.col("n") / F.col("shorter"))).alias("fit"), F.count(F.lit(1)).alias("free"))
+    held = held.withColumn("others", F.greatest(F.col("total") - F.col("held"), F.lit(0)).cast("double")).withColumn("rest_expected", F.greatest(1 - F.col("expected"), F.lit(1e-12)))
+    rare = F.when(F.col("others") > 0, F.col("others") * F.log(F.col("others") / (F.col("total") * F.col("rest_expected")))).otherwise(0.0)
+    ratio = 2 * (F.col("fit") - F.col("held") * F.log(F.col("total").cast("double"))) + 2 * rare
+    kept = held.filter(ratio > F.col("free") + DIVERGENCE * F.sqrt(2.0 * F.col("free")))
+    unlisted = F.greatest(1 - (F.col("held") + PRIOR_TOKENS * F.col("expected")) / (F.col("total") + PRIOR_TOKENS), F.lit(1e-12))
+    contexts = shared.save(kept.select("context", "total", F.log10(unlisted / F.col("rest_expected")).alias("rest")), f"tree-contexts-{depth}")
+    share = (F.col("n") + PRIOR_TOKENS * F.col("shorter")) / (F.col("total") + PRIOR_TOKENS)
+    grams = listed.join(contexts.select("context", "rest"), "context").select("context", "up", "n", share.alias("prob"), (F.log10(share / F.col("shorter")) - F.col("rest")).alias("gain"))
+    return contexts, shared.save(grams.mapInArrow(_keyed, "key long, context long, up long, n long, prob double, gain double"), f"tree-nexts-{depth}")
+
+
+def _grown(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int) -> tuple[DataFrame, int]:
+    """All retained contexts and listed next words, by length until no context of a length is retained: key, length, n,
+    rest, gain, kept (whether it is a context); and the largest length."""
+    spark = training.sparkSession
+    empty = "key long, length int, n long, rest double, gain double, kept boolean"
+    parts: list[DataFrame] = [spark.createDataFrame([], empty)]
+    one, two = bitmap(counts.filter(F.col("n") >= CONTEXT_COUNT), "word"), bitmap(counts.filter(F.col("n") >= NEXT_COUNT), "word")
+    totals = counts.select(F.col("word").alias("context"), F.col("n").alias("total"))
+    shorter = counts.select(F.col("word").alias("up"), ((F.col("n") + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1))).alias("shorter"))
+    depth = 1
+    while True:
+        known = spark.sparkContext.broadcast((one, two))
+        nexts = training.mapInArrow(partial(_nexts, known=known, depth=depth), "context long, up long, n long").groupBy("context", "up").agg(F.sum("n").alias("n"))
+        nexts = shared.save(nexts if depth > 1 else nexts.filter(F.col("n") >= NEXT_COUNT), f"tree-pairs-{depth}")
+        if depth > 1:
+            totals = nexts.groupBy("context").agg(F.sum("n").alias("total"))
+        contexts, grams = _level(nexts, totals, shorter, depth)
+        if contexts.isEmpty():
+            return shared.save(_union(parts), "tree-weights"), depth
+        no = F.lit(0.0)
+        parts.append(contexts.select(F.col("context").alias("key"), F.lit(depth).alias("length"), F.col("total").alias("n"), "rest", no.alias("gain"), F.lit(True).alias("kept")))
+        parts.append(grams.select("key", F.lit(depth + 1).alias("length"), "n", no.alias("rest"), "gain", F.lit(False).alias("kept")))
+        if depth == 1:
+            two = bitmap(nexts.filter(F.col("n") >= CONTEXT_COUNT).mapInArrow(_keyed, "key long, context long, up long, n long"), "key")
+        one = bitmap(contexts, "context")
+        shorter = grams.select(F.col("key").alias("up"), F.col("prob").alias("shorter"))
+        depth += 1
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    all_ = parts[0]
+    for part in parts[1:]:
+        all_ = all_.unionByName(part)
+    return all_.groupBy("key", "length").agg(F.max("n").alias("n"), F.sum("rest").alias("rest"), F.sum("gain").alias("gain"), F.max("kept").alias("kept"))
 
 
 def _table(df: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -171,60 +286,56 @@ def _table(df: DataFrame, *columns: str) -> list[np.ndarray]:
 
 
 def fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int) -> Model:
-    """The tree from ``training`` (text) and its word counts; only tables with a proven bound reach the driver."""
-    spark = training.sparkSession
+    """The tree from ``training`` (text) and its word counts, as far as it is looked up in memory."""
+    return _fit(training, counts, n_tokens, n_words)[0]
+
+
+def _fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int) -> tuple[Model, DataFrame]:
+    """The model in memory and all of the tree as a table; only tables with a proven bound reach the driver."""
     most = counts.filter(F.col("n") >= max(1.0, WORD_SHARE * n_tokens))
     word, n = _table(most, "word", "n")
     order = np.argsort(word.view(np.uint64))
     listed, n = word.view(np.uint64)[order], n[order]
-    share = (n + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1))
-    model = Model(listed, np.log10(share), [])
-    often = n >= max(2.0, CONTEXT_SHARE * n_tokens)
-    table, total = listed[often], n[often].astype(float)
-    chance = share
-    parents: tuple | None = None
-    for depth in (1, 2):
-        known = spark.sparkContext.broadcast((table, listed))
-        nexts = training.mapInArrow(partial(_nexts, known=known, depth=depth), "context int, word int, n long")
-        nexts = nexts.groupBy("context", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, NEXT_SHARE * n_tokens))
-        context, next_word, times = _table(nexts, "context", "word", "n")
-        if parents is None:
-            shorter = chance[next_word] if len(next_word) else np.zeros(0)
-        else:
-            level, of = parents
-            place = _find(level.nexts, _pair(of[context], listed[next_word]))
-            up = _find(level.contexts, of[context])
-            shorter = np.where(place >= 0, 10 ** level.logs[np.maximum(place, 0)] if len(level.logs) else 0, 10 ** (level.rest[np.maximum(up, 0)] if len(level.rest) else 0) * chance[next_word])
-        level, keep = _level(table, total, context, next_word, times.astype(float), shorter, listed)
-        model.levels.append(level)
-        if depth == 1:
-            # A word is a context's last one, so the next level's contexts are the frequent pairs that end in a kept context.
-            frequent = times >= max(2.0, CONTEXT_SHARE * n_tokens)
-            last = listed[next_word[frequent]]
-            inside = _find(level.contexts, last) >= 0
-            pairs = _pair(table[context[frequent]][inside], last[inside])
-            order = np.argsort(pairs)
-            parents = (level, last[inside][order])
-            table, total = pairs[order], times[frequent][inside][order].astype(float)
-    return model
+    root = np.log10((n + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1)))
+    weights, lengths = _grown(training, counts, n_tokens, n_words)
+
+    # Words as contexts go with the words; of longer sequences those at the top of a histogram of frequencies do.
+    sizes = weights.filter("length > 1").groupBy(F.floor(16 * F.log(F.col("n").cast("double"))).alias("bin")).agg(F.count(F.lit(1)).alias("keys")).collect()
+    least, room = max((r["bin"] for r in sizes), default=0) + 1, HOT
+    for r in sorted(sizes, key=lambda r: -r["bin"]):
+        room -= r["keys"]
+        if room < 0:
+            break
+        least = r["bin"]
+    hot = F.when(F.col("length") == 1, F.col("n") >= max(1.0, WORD_SHARE * n_tokens)).otherwise(F.floor(16 * F.log(F.col("n").cast("double"))) >= least)
+    key, length, rest, gain, kept = _table(weights.filter(hot), "key", "length", "rest", "gain", "kept")
+    levels = []
+    for k in range(1, lengths + 1):
+        mine = np.flatnonzero(length == k)
+        mine = mine[np.argsort(key[mine].view(np.uint64))]
+        levels.append(Level(key[mine].view(np.uint64), rest[mine], gain[mine], kept[mine].astype(bool)))
+    others = weights.filter(~hot)
+    return Model(listed, root, levels, bitmap(others.filter("kept"), "key"), bitmap(others.filter("length > 1"), "key")), others
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
-    """What a row's text tells without joins, and its words that aren't listed with their numbers."""
+    """What a row's text tells without joins, and its words and longer sequences that aren't in memory with their numbers."""
     tree: Model = model.value
     for batch, a, b, buf, off in _slices(batches):
         token, row, first = sequence(buf, off)
-        beyond, word = tree.scores(token, first)
+        beyond, word, left = tree.found(token, first)
         n, seen = b - a, word >= 0
         base = np.bincount(row[seen], tree.root[word[seen]], n)
-        rare = np.flatnonzero(~seen)
-        order = np.lexsort((token[rare], row[rare]))
-        r, t = row[rare][order], token[rare][order]
+        r, t = (np.concatenate(x) for x in zip((row[~seen], token[~seen]), *((row[at], key) for at, key in left), strict=True))
+        longer = np.arange(len(t)) >= np.count_nonzero(~seen)
+        order = np.lexsort((t, r))
+        r, t = r[order], t[order]
         new = np.ones(len(t), bool)
         new[1:] = (r[1:] != r[:-1]) | (t[1:] != t[:-1])
         at = np.flatnonzero(new)
         edges = pa.array(np.concatenate([[0], np.cumsum(np.bincount(r[at], minlength=n))]).astype(np.int32))
         times = np.diff(np.append(at, len(t))).astype(np.int32)
+        times[longer[order][at]] *= -1  # of longer sequences
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").slice(a, n), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[seen], minlength=n)), pa.array(base), pa.array(np.bincount(row, beyond, n)), pa.ListArray.from_arrays(edges, pa.array(long(t[at]))), pa.ListArray.from_arrays(edges, pa.array(times))],
             ["doc_id", "n_tokens", "listed", "base", "beyond", "rare", "times"],
@@ -236,7 +347,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     Rows whose crc32 of the doc_id leaves HELD_OUT of PARTS teach nothing; rows without doc_id teach. Tokens are the
     words, A-Z as a-z, then one end; null texts are the end alone. Words are known by a 64-bit hash. Words below
-    WORD_SHARE are scored by a join with the counts of all training words. Repeated rows count and score one by one; an
+    WORD_SHARE, and contexts and next words that aren't among the HOT most frequent, are scored by a join with all of them. Repeated rows count and score one by one; an
     empty table gives no rows; other columns are not read.
     """
     shared.small_batches(docs.sparkSession)
@@ -245,16 +356,25 @@ def scores(docs: DataFrame) -> DataFrame:
     training = rows.filter(~held_out(F.col("doc_id"), PARTS, HELD_OUT)).select("text")
     counts = shared.save(training.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "tree-counts")
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = spark.sparkContext.broadcast(fit(training, counts, n_tokens, n_words))
+    tree, others = _fit(training, counts, n_tokens, n_words)
+    model = spark.sparkContext.broadcast(tree)
     schema = "doc_id long, n_tokens long, listed long, base double, beyond double, rare array<long>, times array<int>"
     parts = shared.save(rows.mapInArrow(partial(_scored, model=model), schema).withColumn("row", F.monotonically_increasing_id()), "tree-parts")
 
-    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.abs("w.times").alias("times"), (F.col("w.times") > 0).alias("single"))
     seldom = counts.filter(F.col("n") < max(1.0, WORD_SHARE * n_tokens))
+    seldom = seldom.select("word", "n", F.lit(0.0).alias("beyond"))
+    longer = others.select(F.col("key").alias("word"), F.lit(None).cast("long").alias("n"), (F.col("rest") + F.col("gain")).alias("beyond"))
+    seldom = seldom.unionByName(longer).groupBy("word").agg(F.max("n").alias("n"), F.sum("beyond").alias("beyond"))
     n = F.coalesce("n", F.lit(0))
     root = F.log10((n + F.lit(UNSEEN)) / F.lit(n_tokens + UNSEEN * (n_words + 1)))
-    sums = rare.join(seldom, "word", "left").groupBy("row").agg(F.sum(F.col("times") * root).alias("rare_base"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    sums = rare.join(seldom, "word", "left").groupBy("row").agg(
+        F.sum(F.when(F.col("single"), F.col("times") * root)).alias("rare_base"),
+        F.sum(F.when(F.col("single") & (n > 0), F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.coalesce(F.col("beyond"), F.lit(0.0))).alias("rare_beyond"),
+    )
     joined = parts.drop("rare", "times").join(sums, "row", "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
     known = (F.col("listed") + F.coalesce("rare_known", F.lit(0))).cast("long")
-    return joined.select("doc_id", held_out(F.col("doc_id"), PARTS, HELD_OUT).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("beyond")).alias("score"))
+    beyond = F.col("beyond") + F.coalesce("rare_beyond", F.lit(0.0))
+    return joined.select("doc_id", held_out(F.col("doc_id"), PARTS, HELD_OUT).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + beyond).alias("score"))
