@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import shared
@@ -44,7 +44,7 @@ def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
                 bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
             bands[n == 0] = 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(long(bands.ravel())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(long(_set_digest(row, value, b - a))), lists], ["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(n, pa.int64()), pa.array(long(_set_digest(row, value, b - a))), lists], ["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
 
 def _links(group: pa.Table, words: int, percent: int) -> pa.Table:
@@ -114,7 +114,13 @@ def _large_links(large: DataFrame, banded: DataFrame, linked: Callable[..., Data
 
 
 def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
+def _row_key() -> list[Column]:
+    """What finds a text again: its doc_id, null apart from all numbers, and the text's hash."""
+    return [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("text_hash")]
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
@@ -125,14 +131,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     group classes are compared on full sets: a group over BLOCK classes first block by block with its hub, then those
     that the hub doesn't reach with all, each pair of blocks in a task of its own; tasks return a spanning forest of the
     links, not the pairs. component_id is the least doc_id
-    reachable. Texts without words link with nothing. Rows that repeat a doc_id share a verdict; a row without doc_id
-    links like any other by an equal set, otherwise it stands alone, and its kept is false if the component has a
-    doc_id. An empty table gives no rows; other columns are not read.
+    reachable. Texts without words link with nothing. Rows that repeat a doc_id with an equal text share a verdict, with
+    another text each has its own; a row without doc_id links like any other, and its kept is false if the component has
+    a doc_id. An empty table gives no rows; other columns are not read.
     """
+    return _verdicts(docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _verdicts(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text and a key of its component, null for texts without words."""
     shared.small_batches(docs.sparkSession)
-    prints = shared.save(_text(docs).mapInArrow(partial(_prints, words=words), "doc_id long, n_shingles long, node long, bands array<long>"), "near-prints")
+    prints = shared.save(_text(docs).mapInArrow(partial(_prints, words=words), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"), "near-prints")
     some = prints.filter("n_shingles > 0")
-    classes = shared.save(some.groupBy("node").agg(F.min("doc_id").alias("low")), "near-classes")
+    classes = shared.save(some.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct(*_row_key())).alias("row")), "near-classes")
     banded = some.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
     stars = banded.join(buckets, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))
@@ -140,8 +151,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 
     groups = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     blocks = stars.groupBy("root").agg(F.ceil((F.count(F.lit(1)) + 1) / F.lit(BLOCK)).cast("long").alias("blocks"))
-    members = groups.join(blocks, "root").join(classes, "node").select(F.col("low").alias("doc_id"), "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    members = shared.save(_text(docs).join(members, "doc_id").select("node", "root", "text", "blocks", "block"), "near-members")
+    members = groups.join(blocks, "root").join(classes, "node").select("row.*", "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    columns = ["node", "root", "text", "blocks", "block"]
+    found = _text(docs).select("text", *_row_key()).join(members, ["no_id", "id", "text_hash"])
+    without_id = found.filter("no_id").select(*columns).dropDuplicates(["node", "block"])  # equal texts may be many
+    members = shared.save(found.filter("NOT no_id").select(*columns).unionByName(without_id), "near-members")
 
     def forest(group: pa.Table) -> pa.Table:
         return _links(group, words, percent)
@@ -157,16 +171,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 
     roots = classes.join(merged, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = roots.join(lows, "root").select("node", "component_id")
-    alone = prints.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    result = some.join(found, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    found = roots.join(lows, "root").select("node", "component_id", "root")
+    alone = prints.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    result = some.join(found, "node").select("doc_id", "text_hash", "n_shingles", "component_id", "root").unionByName(alone)
     return result.withColumn("kept", F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id stands for its group; rows equal in doc_id and text count once."""
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    ids = near_duplicates(docs, words, percent).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).join(ids, "__id", "left_semi")
-    one = Window.partitionBy("__id", "__row").orderBy("__row")
-    return rows.withColumn("__row", name).withColumn("__turn", F.row_number().over(one)).filter("__turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, all columns, of which one stands for each group: that of its least doc_id and, if that has
+    several texts in the group or no row has a doc_id, of the least hash of the text. Rows equal in doc_id and text count
+    once; texts without words stand for themselves.
+    """
+    kept = _verdicts(docs, words, percent).filter("kept").select("root", F.struct(*_row_key()).alias("row"))
+    picked = kept.filter("root IS NOT NULL").groupBy("root").agg(F.min("row").alias("row")).select("row")
+    picked = picked.unionByName(kept.filter("root IS NULL").select("row")).select(F.col("row").alias("__key")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    id_ = F.col("doc_id").cast("long")
+    key = F.struct(id_.isNull().alias("no_id"), F.coalesce(id_, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("text_hash"))
+    rows = docs.withColumn("__key", key).join(picked, "__key", "left_semi")
+    one = Window.partitionBy("__key").orderBy("__key")
+    return rows.withColumn("__turn", F.row_number().over(one)).filter("__turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
