@@ -20,8 +20,8 @@ from millrace.llm import shared
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 
-#: Pre-tokens of one generation of a worker's memory, which holds two.
-REMEMBERED = 1 << 19
+#: Bytes of the pre-tokens of one generation of a worker's memory, which holds two; about what an entry takes besides.
+REMEMBERED, ENTRY = 64 << 20, 200
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -126,20 +126,20 @@ class Encoder(dict):
         self.whole = whole
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.old: dict[str, bytes] = {}
-
-    def trim(self) -> None:
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
+        self.bytes = 0
 
     def __missing__(self, pre_token: str) -> bytes:
-        if (held := self.old.get(pre_token)) is not None:
-            self[pre_token] = held
-            return held
-        raw = pre_token.encode()
-        one = self.whole.find(raw)
-        packed = np.array([one] if one is not None else merge(raw, self.rank), "<u4").tobytes()
-        self[pre_token] = packed
+        packed = self.old.get(pre_token)
+        if packed is None:
+            raw = pre_token.encode()
+            one = self.whole.find(raw)
+            packed = np.array([one] if one is not None else merge(raw, self.rank), "<u4").tobytes()
+        self.bytes += ENTRY + len(pre_token) + len(packed)
+        if self.bytes > REMEMBERED:
+            self.old, self.bytes = dict(self), 0
+            self.clear()
+        else:
+            self[pre_token] = packed
         return packed
 
 
@@ -153,20 +153,31 @@ def _encoder(vocabulary: Broadcast) -> Encoder:
     return _ready[vocabulary.value["key"]]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, pattern: str) -> Iterator[pa.RecordBatch]:
-    ids, split = _encoder(vocabulary), regex.compile(pattern).findall
+def _ids(texts: pa.Array, ids: Encoder, pattern: regex.Pattern) -> list[bytes]:
+    return [b"".join(map(ids.__getitem__, pattern.findall(text.as_py() or ""))) for text in texts]
+
+
+def _bytes(ids: list[bytes], tokens: list[bytes]) -> list[bytes]:
+    return [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+
+
+@shared.lean
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, pattern: str, decoded: bool = False) -> Iterator[pa.RecordBatch]:
+    ids, split = _encoder(vocabulary), regex.compile(pattern)
     for batch in batches:
-        packed = []
-        for text in batch.column("text"):
-            packed.append(b"".join(map(ids.__getitem__, split(text.as_py() or ""))))
-            ids.trim()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            packed = _ids(part.column("text"), ids, split)
+            columns = {"doc_id": part.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64()), "ids": pa.array(packed, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array(_bytes(packed, vocabulary.value["tokens"]), pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
 
+@shared.lean
 def _decode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
-    token = vocabulary.value["tokens"].__getitem__
     for batch in batches:
-        texts = [b"".join(map(token, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in batch.column("ids")]
+        texts = _bytes([x.as_buffer().to_pybytes() for x in batch.column("ids")], vocabulary.value["tokens"])
         rest = [n for n in batch.schema.names if n != "ids"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(texts, pa.binary())], [*rest, "decoded"])
 
@@ -177,15 +188,17 @@ def load(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast({"key": hash(tuple(tokens)), "tokens": tokens, "whole": PerfectHash(tokens)})
 
 
-def encode(docs: DataFrame, vocabulary: Broadcast, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row's text, row by row, no shuffle.
+def encode(docs: DataFrame, vocabulary: Broadcast, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row's text, row by row, no shuffle;
+    if wanted also decoded, the bytes that the ids stand for, found in the same pass.
 
     Each match of ``pattern`` is encoded on its own; text that is a special token elsewhere is ordinary text here. A
     null or empty text has no ids; repeated rows give repeated rows; empty tables give none; other columns aren't read.
     """
     shared.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_encode, vocabulary=vocabulary, pattern=pattern), "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return rows.mapInArrow(partial(_encode, vocabulary=vocabulary, pattern=pattern, decoded=decoded), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Broadcast) -> DataFrame:
@@ -197,6 +210,5 @@ def decode(encoded: DataFrame, vocabulary: Broadcast) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    vocabulary = load(docs.sparkSession, path)
-    coded = encode(docs, vocabulary, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(coded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(docs, load(docs.sparkSession, path), pattern, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -81,6 +81,7 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+@shared.lean
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by range and in order; each is compared with the row after it in its range."""
     held: list = []

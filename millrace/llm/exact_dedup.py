@@ -12,6 +12,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Parts of the arrivals table that one micro-batch takes.
 FILES_PER_BATCH = 64
 
+#: Memory that all state stores of an executor share; what is beyond it is on disk.
+STATE_MEMORY_MB = 128
+
 #: Rows of one group whose texts one key brings together for the comparison of whole texts; a larger group takes more keys.
 COMPARED_TOGETHER = 256
 
@@ -30,6 +33,8 @@ def group_states(arrivals: DataFrame, files_per_batch: int = FILES_PER_BATCH) ->
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space ahead of need
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",  # of all stores of an executor together
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MEMORY_MB),
     }
     before = {k: spark.conf.get(k, None) for k in named}
     try:

@@ -42,6 +42,7 @@ def _half_keys(n: Column) -> list[Column]:
     return keys
 
 
+@shared.lean
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The keys of each line: itself, itself without one character, and that together with the place of the character.
 
@@ -94,6 +95,7 @@ def _near(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     return checked.select("place").distinct()
 
 
+@shared.lean
 def _kept_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_lines, n_removed, kept = [], [], []

@@ -32,6 +32,7 @@ def _set_digest(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.bincount(row, minlength=n).astype(np.uint64))
 
 
+@shared.lean
 def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = texts(batch.column("text"))

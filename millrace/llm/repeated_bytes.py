@@ -65,12 +65,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield batch, a, b, buf[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
+@shared.lean
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, _, _, buf, off in _slices(batches):
         trigger, _, _ = runs(buf, off)
         yield pa.RecordBatch.from_arrays([pa.array(long(hashes(buf, trigger, trigger + CORE)))], ["core"])
 
 
+@shared.lean
 def _contexts(batches: Iterator[pa.RecordBatch], seen: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The runs whose core may be repeated: where they stand, their core, and a digest of context and place of trigger."""
     for batch, a, _, buf, off in _slices(batches):
@@ -87,6 +89,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], seen: np.ndarray) -> Iterator[p
         )
 
 
+@shared.lean
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each context that a row of text stands for, with the columns of its run."""
     for batch in batches:
@@ -107,6 +110,7 @@ def _digests(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return halves[:, 0].copy(), halves[:, 1].copy(), n
 
 
+@shared.lean
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each string of the contexts of a core that is too frequent for one task."""
     for batch in batches:
@@ -118,6 +122,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("text_hash").take(row), pa.array(k1), pa.array(k2), pa.array(part.column("first").take(row).to_numpy() + place), part.column("times").take(row)], ["doc_id", "text_hash", "k1", "k2", "at", "times"])
 
 
+@shared.lean
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of starts, in contexts that stand once, of strings that another context of the same core has too.
 
@@ -192,6 +197,7 @@ def covered(first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> tuple[
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)] if len(end) else end
 
 
+@shared.lean
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], []]
@@ -209,6 +215,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+@shared.lean
 def _only(batches: Iterator[pa.RecordBatch], rows: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pa.array(slots.among(rows, batch.column("text_hash").to_numpy()) == inside))

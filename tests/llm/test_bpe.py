@@ -46,10 +46,10 @@ def test_rows(spark):
     assert bpe.round_trip(docs.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
 
 
-def test_memory_keeps_what_is_used(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3 * (bpe.ENTRY + 20))
     ids = bpe.Encoder(TOKENS, WHOLE)
-    for word in ["the", "quick", "brown", "fox", "the", "jumps", "quixotry", "the", "zyzzyvas", "fox"] * 3:
+    for word in ["the", "quick", "brown", "fox", "the", "jumps", "quixotry", "the", "zyzzyvas", "fox", "x" * 5000] * 3:
         assert np.frombuffer(ids[word], "<u4").tolist() == KNOWN.encode_ordinary(word)
-        ids.trim()
-        assert len(ids) <= 3 and len(ids.old) <= 4
+        assert len(ids) <= 3 and len(ids.old) <= 3
+        assert sum(bpe.ENTRY + len(k) + len(v) for k, v in ids.items()) <= bpe.REMEMBERED
