@@ -17,10 +17,8 @@ from millrace.llm.arrays import hashes, lower, steps, texts, words
 WORD_BITS = 17
 #: First bytes of a longer word that are features of their own: stems in languages that build on them.
 PREFIXES = (4, 5, 6, 7)
-#: What a sampled row is for: training as trusted or unlabelled, calibration by its label.
-TRUSTED, UNLABELLED, ZERO, ONE = range(4)
-#: Of the rows that may be learnt from, one in so many is kept from training and used to calibrate scores.
-CALIBRATION = 4
+#: Features that a model has at most, the most telling ones, and the standard errors that each needs to be one.
+MOST_FEATURES, LEAST_ERRORS = 1_000, 1.0
 #: Bins of each measure of a text, and the measures.
 BINS, MEASURES = 16, 40
 WORDS = (1 + len(PREFIXES)) << WORD_BITS
@@ -93,63 +91,50 @@ class Model:
     def score(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(row, feature, n), -40, 40)))
 
-    def calibrated(self, margin: np.ndarray, one: np.ndarray) -> Model:
-        """The model with its margin scaled and moved so that scores fit labelled rows outside of its training.
-
-        Few rows, or rows of one label, change nothing. Targets are drawn in by one row of either label, which bounds
-        the scale. Newton steps; the scale stays positive, so the order of scores doesn't change.
-        """
-        ones = int(one.sum())
-        if min(ones, len(one) - ones) < 3:
-            return self
-        target = np.where(one, (ones + 1) / (ones + 2), 1 / (len(one) - ones + 2))
-        centre, spread = margin.mean(), margin.std() + 1e-9
-        x = np.stack([(margin - centre) / spread, np.ones(len(margin))])
-        c = np.array([1.0, 0.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(c @ x, -30, 30)))
-            move = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2), x @ (target - p) - 1e-3 * c)
-            c = c + np.clip(move, -2, 2)
-        scale = max(c[0], 1e-3) / spread
-        return Model(self.weight * scale, float((self.bias - centre) * scale + c[1]))
-
-
-def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, errors: float = 3.5, few: float = 1.0) -> np.ndarray:
-    """Which features' shares of the n_p positives and the n_u unlabelled differ by at least ``errors`` standard errors.
-
-    ``in_p`` and ``in_u`` count the rows with each feature. Shares below ``few`` rows of the smaller side count as that
-    for the error, so a word of one text tells nothing.
+
+def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, few: float = 1.0, most: int = MOST_FEATURES, least: float = LEAST_ERRORS) -> tuple[np.ndarray, np.ndarray]:
+    """The features that tell most, and a scale of each for training.
+
+    ``in_p`` and ``in_u`` count the rows with each feature among n_p positives and n_u unlabelled. What a feature tells
+    is the difference of its shares in standard errors. Shares below ``few`` rows of the smaller side count as that for
+    the error, and a feature of under 3 rows tells nothing. The scale grows with the square of the errors, so weak
+    features are held back by the pull of weights to 0 rather than left out.
     """
     both = (in_p + in_u) / (n_p + n_u)
     likely = np.maximum(both * (1 - both), few / min(n_p, n_u))
-    return np.abs(in_p / n_p - in_u / n_u) >= errors * np.sqrt(likely * (1 / n_p + 1 / n_u))
+    errors = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(likely * (1 / n_p + 1 / n_u))
+    errors[(in_p + in_u < 3) | (errors < least)] = 0
+    picked = np.argsort(-errors, kind="stable")[:most]
+    picked = np.sort(picked[errors[picked] > 0])
+    return picked, np.minimum((errors[picked] / 4) ** 2, 4)
 
 
-def fit(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: float, steps_taken: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Model:
+def fit(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: float, columns: np.ndarray, scale: np.ndarray, steps_taken: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), l(z) = log(1 + exp(-z)), by Adam.
 
-    ``positive`` marks the trusted rows, the others are unlabelled. While the middle difference, the risk on negatives,
-    is below 0, the step goes up its gradient instead. ``decay`` pulls the weights to 0.
+    ``positive`` marks the trusted rows, the others are unlabelled; ``row`` has ``feature``, one of the sorted ``columns``
+    with ``scale``. While the middle difference, the risk on negatives, is below 0, the step goes up its gradient
+    instead. ``decay`` pulls the weights to 0.
     """
     n = len(positive)
-    columns, at = np.unique(feature, return_inverse=True)
+    at = np.searchsorted(columns, feature)
     n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
     w, b = np.zeros(len(columns)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    share_p, share_u = positive / n_p, ~positive / n_u
+    share_p, share_u, value = positive / n_p, ~positive / n_u, scale[at]
     for t in range(1, steps_taken + 1):
-        g = b + np.bincount(row, w[at], n)
+        g = b + np.bincount(row, w[at] * value, n)
         p = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
         loss_neg = np.logaddexp(0, g)
         on_negatives = share_u @ loss_neg - prior * (share_p @ loss_neg)
         slope_neg = share_u * p - prior * share_p * p
         slope = prior * share_p * (p - 1) + slope_neg if on_negatives >= 0 else -slope_neg
-        full = np.append(np.bincount(at, slope[row], len(w)) + decay * w, slope.sum())
+        full = np.append(np.bincount(at, slope[row] * value, len(w)) + decay * w, slope.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     weight = np.zeros(WIDTH)
-    weight[columns] = w
+    weight[columns] = w * scale
     return Model(weight, b)
 
 
@@ -162,94 +147,90 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@shared.lean
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's trusted rows, and of all its rows, have each feature; feature WIDTH is the rows themselves."""
+    in_p, in_u = np.zeros(WIDTH + 1, np.int64), np.zeros(WIDTH + 1, np.int64)
     for batch in batches:
+        trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
         buf, off = texts(batch.column("text"))
         for a, b in steps(off):
             row, feature = features(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-            order = np.argsort(row, kind="stable")
-            edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(feature[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("role").slice(a, b - a), lists], ["doc_id", "role", "features"])
-
-
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column and how many each row has."""
-    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    in_p, in_u = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
-    for batch in batches:
-        value, n = _lists(batch.column("features"))
-        role = np.repeat(batch.column("role").to_numpy(), n)
-        in_p += np.bincount(value[role == TRUSTED], minlength=WIDTH)
-        in_u += np.bincount(value[role == UNLABELLED], minlength=WIDTH)
-    some = np.flatnonzero(in_p + in_u)
+            in_u += np.bincount(feature, minlength=WIDTH + 1)
+            if trusted[a:b].any():
+                in_p += np.bincount(feature[trusted[a:b][row]], minlength=WIDTH + 1)
+        in_u[WIDTH] += batch.num_rows
+        in_p[WIDTH] += trusted.sum()
+    some = np.flatnonzero(in_u)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(in_p[some]), pa.array(in_u[some])], ["feature", "in_p", "in_u"])
 
 
+@shared.lean
 def _picked(batches: Iterator[pa.RecordBatch], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The features of each row that are among ``keep``, in order."""
     for batch in batches:
-        value, n = _lists(batch.column("features"))
-        mine = keep[value]
-        total = np.concatenate([[0], np.cumsum(mine)])
-        edges = total[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(value[mine]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("role"), lists], ["doc_id", "role", "features"])
+        buf, off = texts(batch.column("text"))
+        for a, b in steps(off):
+            row, feature = features(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+            mine = np.isin(feature, keep)
+            row, feature = row[mine], feature[mine]
+            order = np.lexsort((feature, row))
+            edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(feature[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "trusted", "drawn")), lists], ["doc_id", "trusted", "drawn", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, decay: float = 1e-3, sample: int = 12_000, seed: int = 7) -> Model:
     """A model for ``label`` from rows that aren't held out.
 
-    Trusted positives are labelled rows with 1; the unlabelled are drawn from all rows of ``docs``, whose labels aren't
-    looked at. About ``sample`` rows of each kind are used, chosen by a hash of their doc_id, so the features that reach
-    the driver are bounded, and of those only the telling ones. One labelled row in CALIBRATION takes no part in training; its label calibrates the scores. The class prior is the share of 1 among the labelled rows that aren't held out (a doc_id
-    labelled twice counts by its largest label), between 0.001 and 0.999; 0.5 without any.
+    Trusted positives are labelled rows with 1, about ``sample`` of them at most, chosen by a hash of their doc_id. The
+    unlabelled are all rows of ``docs``, whose labels aren't looked at: which features tell is found from all of them,
+    and the risk is minimised on about ``sample`` of them, so what reaches the driver is bounded. The class prior is the
+    share of 1 among the labelled rows (a doc_id labelled twice counts by its largest label), between 0.001 and 0.999;
+    labelled 0 have no other use. Without a trusted or an unlabelled row, or without a telling feature, every text
+    scores the prior, 0.5 without labels.
     """
     shared.small_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     marks = marks.filter(~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max("label").alias("label"))
     count, ones = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
     prior = float(np.clip(ones / count if count else 0.5, 0.001, 0.999))
-    pool = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"), parts, part))
+    flat = Model(np.zeros(WIDTH), float(np.log(prior / (1 - prior))))
+    pool = _text(docs).filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"), parts, part))
     n = pool.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
 
     def chosen(of: int) -> Column:
-        return draw < F.lit(int(min(1.0, sample / max(1, of)) * (1 << 40)))
-
-    aside = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(CALIBRATION)) == 0
-    trusted = marks.filter("label = 1").filter(~aside).filter(chosen(ones)).select("doc_id", F.lit(TRUSTED).alias("role"))
-    drawn = pool.filter(~aside).filter(chosen(n)).distinct().select("doc_id", F.lit(UNLABELLED).alias("role"))
-    tests = marks.filter(aside).filter(chosen(count)).select("doc_id", F.when(F.col("label") == 1, F.lit(ONE)).otherwise(F.lit(ZERO)).alias("role"))
-    ids = trusted.unionByName(drawn).unionByName(tests)  # about 2.25 times ``sample`` rows at most: a proven bound
-    rows = _text(docs).join(F.broadcast(ids), "doc_id").mapInArrow(_sampled, "doc_id long, role int, features array<int>")
-    rows = shared.save(rows, "labelled-features")
-    n_of = {r.role: r.n for r in rows.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n_of.get(TRUSTED) or not n_of.get(UNLABELLED):
-        return Model(np.zeros(WIDTH), float(np.log(prior / (1 - prior))))
+        return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) < F.lit(int(min(1.0, sample / max(1, of)) * (1 << 40)))
+
+    ids = marks.filter("label = 1").filter(chosen(ones)).select("doc_id", F.lit(True).alias("trusted"))  # about ``sample`` rows at most
+    rows = pool.join(F.broadcast(ids), "doc_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), chosen(n).alias("drawn"))
     counts = rows.mapInArrow(_counted, "feature int, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")).toArrow()
-    picked = telling(counts.column("in_p").to_numpy(), counts.column("in_u").to_numpy(), n_of[TRUSTED], n_of[UNLABELLED])
-    keep = np.zeros(WIDTH, bool)
-    keep[counts.column("feature").to_numpy()[picked]] = True
-    got = rows.mapInArrow(partial(_picked, keep=keep), "doc_id long, role int, features array<int>").toArrow()
-    got = got.combine_chunks().sort_by([("doc_id", "ascending"), ("role", "ascending")])
+    in_p, in_u = np.zeros(WIDTH + 1, np.int64), np.zeros(WIDTH + 1, np.int64)
+    in_p[counts.column("feature").to_numpy()] = counts.column("in_p").to_numpy()
+    in_u[counts.column("feature").to_numpy()] = counts.column("in_u").to_numpy()
+    n_p, n_u = int(in_p[WIDTH]), int(in_u[WIDTH])
+    if not n_p or not n_u:
+        return flat
+    columns, scale = telling(in_p[:WIDTH], in_u[:WIDTH], n_p, n_u)
+    if not len(columns):
+        return flat
+    got = rows.filter("trusted OR drawn").mapInArrow(partial(_picked, keep=columns), "doc_id long, trusted boolean, drawn boolean, features array<int>").toArrow()
+    got = got.combine_chunks().sort_by("doc_id")
     lists = pa.concat_arrays(got.column("features").chunks)
-    role = got.column("role").to_numpy()
+    at = np.repeat(np.arange(len(got)), np.diff(lists.offsets.to_numpy()))
     feature = lists.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(got)), np.diff(lists.offsets.to_numpy()))
-
-    def of(*roles: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mine = np.isin(role, roles)
-        return (np.cumsum(mine) - 1)[row[mine[row]]], feature[mine[row]], role[mine]
-
-    at, what, kind = of(TRUSTED, UNLABELLED)
-    model = fit(at, what, kind == TRUSTED, prior, decay=decay)
-    at, what, kind = of(ZERO, ONE)
-    return model.calibrated(model.margin(at, what, len(kind)), kind == ONE)
-
-
+    sides = [got.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("trusted", "drawn")]
+    if not sides[1].any():
+        return flat
+    row, n_rows = [], 0
+    for side in sides:  # a trusted row is unlabelled as well if it is drawn
+        row.append((np.cumsum(side) - 1 + n_rows)[at[side[at]]])
+        n_rows += int(side.sum())
+    what = np.concatenate([feature[side[at]] for side in sides])
+    return fit(np.concatenate(row), what, np.arange(n_rows) < int(sides[0].sum()), prior, columns, scale, decay=decay)
+
+
+@shared.lean
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = texts(batch.column("text"))
@@ -272,6 +253,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: i
     return found.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@shared.lean
 def _marked(batches: Iterator[pa.RecordBatch], model: Model, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = texts(batch.column(at).cast(pa.string()))

@@ -8,7 +8,7 @@ from millrace.llm import positive_unlabelled as pu
 
 PARTS, HELD_OUT = 4, 2
 #: Strength of the pull of weights to 0.
-DECAY = 3e-3
+DECAY = 1e-3
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from millrace.llm import positive_unlabelled as pu
 
 PARTS, HELD_OUT = 3, 1
 #: Strength of the pull of weights to 0.
-DECAY = 1e-4
+DECAY = 1e-3
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

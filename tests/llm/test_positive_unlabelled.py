@@ -10,19 +10,39 @@ import pytest
 from millrace.llm import positive_unlabelled as pu
 from millrace.llm import quality, toxicity
 
-SMALL = Path("/root/testdata/sf0.1")
+DATA = Path("/root/testdata")
 
 
-@pytest.mark.skipif(not SMALL.exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize(("module", "label", "parts", "part", "least"), [(toxicity.toxicity, "toxic", 3, 1, 0.95), (quality.quality, "quality", 4, 2, 0.93)])
-def test_held_out_accuracy(spark, module, label, parts, part, least):
-    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+def auc(score, one):
+    order = np.argsort(score, kind="stable")
+    _, group = np.unique(score, return_inverse=True)
+    rank = np.empty(len(score))
+    rank[order] = np.arange(len(score))
+    rank = (np.bincount(group, rank) / np.bincount(group))[group]
+    return (rank[one].mean() - (one.sum() - 1) / 2) / (~one).sum()
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize(
+    ("module", "label", "parts", "part", "size", "least_auc", "recall", "false"),
+    [
+        (toxicity.toxicity, "toxic", 3, 1, "sf0.01", 0.9, 0.6, 0.05),
+        (toxicity.toxicity, "toxic", 3, 1, "sf0.1", 0.95, 0.9, 0.05),
+        (quality.quality, "quality", 4, 2, "sf0.01", 0.88, 0.95, 0.9),
+        (quality.quality, "quality", 4, 2, "sf0.1", 0.99, 0.98, 0.08),
+    ],
+)
+def test_held_out_labels(spark, module, label, parts, part, size, least_auc, recall, false):
+    docs, labels = (spark.read.parquet(f"{DATA}/{size}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in module(docs, labels).collect()}
     assert len(got) == docs.count()
     for r in got.values():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % parts == part) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
     marks = [(r.doc_id, r[label]) for r in labels.collect() if got[r.doc_id].held_out]
-    assert np.mean([got[d].predicted == y for d, y in marks]) >= least
+    score, one = np.array([got[d].score for d, _ in marks]), np.array([y == 1 for _, y in marks])
+    predicted = np.array([got[d].predicted for d, _ in marks]) == 1
+    found = auc(score, one), predicted[one].mean(), predicted[~one].mean()
+    assert found[0] >= least_auc and found[1] >= recall and found[2] <= false, found
 
 
 def test_edges(spark):
@@ -42,6 +62,7 @@ def test_fit_finds_the_planted_feature():
     toxic = positive | (rng.random(n) < 0.2)
     row = np.concatenate([np.flatnonzero(toxic), np.repeat(np.arange(n), 5)])
     feature = np.concatenate([np.full(toxic.sum(), 7), rng.integers(10, 500, 5 * n)])
-    model = pu.fit(row, feature, positive, 0.2)
+    columns = np.unique(feature)
+    model = pu.fit(row, feature, positive, 0.2, columns, np.ones(len(columns)))
     score = model.score(row, feature, n)
     assert score[toxic].min() > score[~toxic].max()
