@@ -23,9 +23,12 @@ PARTS, HELD_OUT = 10, 0
 WORD_SHARE = 1e-6
 #: Occurrences that a context needs to be tested, and that it needs with a next word for that to be listed; they don't
 #: depend on the size of the input.
-CONTEXT_COUNT, NEXT_COUNT = 8, 2
-#: Contexts and next words that are looked up in memory, the most frequent ones; all others are scored by joins.
-HOT = 1 << 20
+CONTEXT_COUNT, NEXT_COUNT = 32, 8
+#: Words of the longest context that is tested.
+DEPTH = 6
+#: Least share of all training tokens of a context or next word that is looked up in memory: at most 1 / share of each
+#: length exist. All others are scored by joins.
+SEQUENCE_SHARE = 5e-7
 #: Tokens whose contexts and next words are counted together in a task.
 COUNTED = 1 << 20
 #: Weight, in tokens, of the shorter context in a context's next-word shares.
@@ -36,6 +39,8 @@ DIVERGENCE = 3.0
 UNSEEN = 0.1
 
 END = np.uint64(0x5DEECE66D1CE4E5B)
+#: What stands for the next word in the row of a context's own count.
+TOTAL = np.uint64(0x2545F4914F6CDD1D)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,6 +161,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield batch, a, b, buf[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
+@shared.lean
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = texts(batch.column("text"))
@@ -172,9 +178,10 @@ def _before(x: np.ndarray, n: int = 1) -> np.ndarray:
     return out
 
 
+@shared.lean
 def _nexts(batches: Iterator[pa.RecordBatch], known: Broadcast, depth: int) -> Iterator[pa.RecordBatch]:
     """How often each word follows each context of ``depth`` words that may be tested: the keys of the context and of the
-    sequence without the context's first word.
+    sequence without the context's first word; beyond one word also how often the context stands, under the key TOTAL.
 
     ``known`` has bitmaps: for one word of the contexts and next words with enough occurrences; beyond of the retained
     contexts one word shorter, and of the pairs of words with enough occurrences, of which one must start the context.
@@ -185,6 +192,8 @@ def _nexts(batches: Iterator[pa.RecordBatch], known: Broadcast, depth: int) -> I
 
     def out() -> pa.RecordBatch:
         c, u, m = (np.concatenate(x) for x in (context, up, n))
+        if depth > 1:
+            c, u, m = np.concatenate([c, c]), np.concatenate([u, np.full(len(u), TOTAL)]), np.concatenate([m, m])
         _, at, back = np.unique(_pair(c, u), return_index=True, return_inverse=True)
         return pa.RecordBatch.from_arrays([pa.array(long(c[at])), pa.array(long(u[at])), pa.array(np.bincount(back, m).astype(np.int64))], ["context", "up", "n"])
 
@@ -222,17 +231,20 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(long(_pair(context, up))), *batch.columns], ["key", *batch.schema.names])
 
 
-def _level(nexts: DataFrame, totals: DataFrame, shorter: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _keyed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _keyed(batches):
+        yield batch.select(["key"])
+
+
+def _level(listed: DataFrame, totals: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """The contexts that diverge from their shorter ones (context, total, rest), and their listed next words (key,
     context, n, prob, gain).
 
-    ``nexts`` (context, up, n) are the candidates, ``totals`` (context, total) their occurrences, ``shorter`` (up,
-    shorter) each next word's probability in the shorter context, which is retained. The test is a likelihood ratio over
-    the listed words and all others together.
+    ``listed`` (context, up, n, shorter) are the next words with enough occurrences and their probability in the shorter
+    context, which is retained; ``totals`` (context, total) the occurrences of contexts with enough. The test is a
+    likelihood ratio over the listed words and all others together.
     """
-    listed = nexts.filter(F.col("n") >= NEXT_COUNT).join(totals.filter(F.col("total") >= CONTEXT_COUNT), "context").join(shorter, "up")
-    listed = shared.save(listed.select("context", "up", "n", "total", "shorter"), f"tree-listed-{depth}")
-    held = listed.groupBy("context").agg(F.max("total").alias("total"), F.sum("n").alias("held"), F.sum("shorter").alias("expected"), F.sum(F.col("n") * F.log(F.col("n") / F.col("shorter"))).alias("fit"), F.count(F.lit(1)).alias("free"))
+    held = listed.groupBy("context").agg(F.sum("n").alias("held"), F.sum("shorter").alias("expected"), F.sum(F.col("n") * F.log(F.col("n") / F.col("shorter"))).alias("fit"), F.count(F.lit(1)).alias("free")).join(totals, "context")
     held = held.withColumn("others", F.greatest(F.col("total") - F.col("held"), F.lit(0)).cast("double")).withColumn("rest_expected", F.greatest(1 - F.col("expected"), F.lit(1e-12)))
     rare = F.when(F.col("others") > 0, F.col("others") * F.log(F.col("others") / (F.col("total") * F.col("rest_expected")))).otherwise(0.0)
     ratio = 2 * (F.col("fit") - F.col("held") * F.log(F.col("total").cast("double"))) + 2 * rare
@@ -240,37 +252,39 @@ def _level(nexts: DataFrame, totals: DataFrame, shorter: DataFrame, depth: int)
     unlisted = F.greatest(1 - (F.col("held") + PRIOR_TOKENS * F.col("expected")) / (F.col("total") + PRIOR_TOKENS), F.lit(1e-12))
     contexts = shared.save(kept.select("context", "total", F.log10(unlisted / F.col("rest_expected")).alias("rest")), f"tree-contexts-{depth}")
     share = (F.col("n") + PRIOR_TOKENS * F.col("shorter")) / (F.col("total") + PRIOR_TOKENS)
-    grams = listed.join(contexts.select("context", "rest"), "context").select("context", "up", "n", share.alias("prob"), (F.log10(share / F.col("shorter")) - F.col("rest")).alias("gain"))
+    grams = listed.join(contexts, "context").select("context", "up", "n", share.alias("prob"), (F.log10(share / F.col("shorter")) - F.col("rest")).alias("gain"))
     return contexts, shared.save(grams.mapInArrow(_keyed, "key long, context long, up long, n long, prob double, gain double"), f"tree-nexts-{depth}")
 
 
-def _grown(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int) -> tuple[DataFrame, int]:
-    """All retained contexts and listed next words, by length until no context of a length is retained: key, length, n,
-    rest, gain, kept (whether it is a context); and the largest length."""
+def _grown(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, depth_limit: int) -> tuple[DataFrame, int]:
+    """All retained contexts and listed next words, by length until no context of a length is retained or it is
+    ``depth_limit``: key, length, n, rest, gain, kept (whether it is a context); and the largest length."""
     spark = training.sparkSession
     empty = "key long, length int, n long, rest double, gain double, kept boolean"
     parts: list[DataFrame] = [spark.createDataFrame([], empty)]
     one, two = bitmap(counts.filter(F.col("n") >= CONTEXT_COUNT), "word"), bitmap(counts.filter(F.col("n") >= NEXT_COUNT), "word")
-    totals = counts.select(F.col("word").alias("context"), F.col("n").alias("total"))
-    shorter = counts.select(F.col("word").alias("up"), ((F.col("n") + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1))).alias("shorter"))
-    depth = 1
-    while True:
+    totals = counts.filter(F.col("n") >= CONTEXT_COUNT).select(F.col("word").alias("context"), F.col("n").alias("total"))
+    shorter = counts.filter(F.col("n") >= NEXT_COUNT).select(F.col("word").alias("up"), ((F.col("n") + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1))).alias("shorter"))
+    total_row = F.col("up") == F.lit(int(long(TOTAL)))
+    for depth in range(1, depth_limit + 1):
         known = spark.sparkContext.broadcast((one, two))
-        nexts = training.mapInArrow(partial(_nexts, known=known, depth=depth), "context long, up long, n long").groupBy("context", "up").agg(F.sum("n").alias("n"))
-        nexts = shared.save(nexts if depth > 1 else nexts.filter(F.col("n") >= NEXT_COUNT), f"tree-pairs-{depth}")
+        nexts = training.mapInArrow(partial(_nexts, known=known, depth=depth), "context long, up long, n long").groupBy("context", "up").agg(F.sum("n").alias("n")).filter(F.col("n") >= NEXT_COUNT)
         if depth > 1:
-            totals = nexts.groupBy("context").agg(F.sum("n").alias("total"))
-        contexts, grams = _level(nexts, totals, shorter, depth)
+            nexts = shared.save(nexts, f"tree-pairs-{depth}")
+            totals = nexts.filter(total_row & (F.col("n") >= CONTEXT_COUNT)).select("context", F.col("n").alias("total"))
+            nexts = nexts.filter(~total_row)
+        listed = shared.save(nexts.join(shorter, "up").select("context", "up", "n", "shorter"), f"tree-listed-{depth}")
+        contexts, grams = _level(listed, totals, depth)
         if contexts.isEmpty():
-            return shared.save(_union(parts), "tree-weights"), depth
+            break
         no = F.lit(0.0)
         parts.append(contexts.select(F.col("context").alias("key"), F.lit(depth).alias("length"), F.col("total").alias("n"), "rest", no.alias("gain"), F.lit(True).alias("kept")))
         parts.append(grams.select("key", F.lit(depth + 1).alias("length"), "n", no.alias("rest"), "gain", F.lit(False).alias("kept")))
         if depth == 1:
-            two = bitmap(nexts.filter(F.col("n") >= CONTEXT_COUNT).mapInArrow(_keyed, "key long, context long, up long, n long"), "key")
+            two = bitmap(listed.filter(F.col("n") >= CONTEXT_COUNT).mapInArrow(_keyed_pairs, "key long"), "key")
         one = bitmap(contexts, "context")
         shorter = grams.select(F.col("key").alias("up"), F.col("prob").alias("shorter"))
-        depth += 1
+    return shared.save(_union(parts), "tree-weights"), len(parts) // 2 + 1
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -285,29 +299,23 @@ def _table(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [got.column(c).to_numpy() for c in columns]
 
 
-def fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int) -> Model:
+def fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, depth: int = DEPTH) -> Model:
     """The tree from ``training`` (text) and its word counts, as far as it is looked up in memory."""
-    return _fit(training, counts, n_tokens, n_words)[0]
+    return _fit(training, counts, n_tokens, n_words, depth)[0]
 
 
-def _fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int) -> tuple[Model, DataFrame]:
+def _fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, depth: int) -> tuple[Model, DataFrame]:
     """The model in memory and all of the tree as a table; only tables with a proven bound reach the driver."""
     most = counts.filter(F.col("n") >= max(1.0, WORD_SHARE * n_tokens))
     word, n = _table(most, "word", "n")
     order = np.argsort(word.view(np.uint64))
     listed, n = word.view(np.uint64)[order], n[order]
     root = np.log10((n + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1)))
-    weights, lengths = _grown(training, counts, n_tokens, n_words)
-
-    # Words as contexts go with the words; of longer sequences those at the top of a histogram of frequencies do.
-    sizes = weights.filter("length > 1").groupBy(F.floor(16 * F.log(F.col("n").cast("double"))).alias("bin")).agg(F.count(F.lit(1)).alias("keys")).collect()
-    least, room = max((r["bin"] for r in sizes), default=0) + 1, HOT
-    for r in sorted(sizes, key=lambda r: -r["bin"]):
-        room -= r["keys"]
-        if room < 0:
-            break
-        least = r["bin"]
-    hot = F.when(F.col("length") == 1, F.col("n") >= max(1.0, WORD_SHARE * n_tokens)).otherwise(F.floor(16 * F.log(F.col("n").cast("double"))) >= least)
+    weights, lengths = _grown(training, counts, n_tokens, n_words, depth)
+
+    # Words as contexts go with the words.
+    least = F.when(F.col("length") == 1, F.lit(max(1.0, WORD_SHARE * n_tokens))).otherwise(F.lit(max(1.0, SEQUENCE_SHARE * n_tokens)))
+    hot = F.col("n") >= least
     key, length, rest, gain, kept = _table(weights.filter(hot), "key", "length", "rest", "gain", "kept")
     levels = []
     for k in range(1, lengths + 1):
@@ -318,6 +326,7 @@ def _fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int) ->
     return Model(listed, root, levels, bitmap(others.filter("kept"), "key"), bitmap(others.filter("length > 1"), "key")), others
 
 
+@shared.lean
 def _scored(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
     """What a row's text tells without joins, and its words and longer sequences that aren't in memory with their numbers."""
     tree: Model = model.value
@@ -342,13 +351,14 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.
         )
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the doc_id leaves HELD_OUT of PARTS teach nothing; rows without doc_id teach. Tokens are the
     words, A-Z as a-z, then one end; null texts are the end alone. Words are known by a 64-bit hash. Words below
-    WORD_SHARE, and contexts and next words that aren't among the HOT most frequent, are scored by a join with all of them. Repeated rows count and score one by one; an
-    empty table gives no rows; other columns are not read.
+    WORD_SHARE, and contexts and next words below SEQUENCE_SHARE, are scored by a join with all of them. Contexts have at
+    most ``depth`` words. Repeated rows count and score one by one; an empty table gives no rows; other columns are not
+    read.
     """
     shared.small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -356,7 +366,7 @@ def scores(docs: DataFrame) -> DataFrame:
     training = rows.filter(~held_out(F.col("doc_id"), PARTS, HELD_OUT)).select("text")
     counts = shared.save(training.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "tree-counts")
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree, others = _fit(training, counts, n_tokens, n_words)
+    tree, others = _fit(training, counts, n_tokens, n_words, depth)
     model = spark.sparkContext.broadcast(tree)
     schema = "doc_id long, n_tokens long, listed long, base double, beyond double, rare array<long>, times array<int>"
     parts = shared.save(rows.mapInArrow(partial(_scored, model=model), schema).withColumn("row", F.monotonically_increasing_id()), "tree-parts")

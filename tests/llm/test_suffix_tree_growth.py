@@ -71,10 +71,12 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 30, 0])
+@pytest.mark.parametrize("hot", [1e-9, 1e-3, 1.0])
 @pytest.mark.parametrize("share", [1e-6, 1e-2])
 def test_equals_brute_force(spark, monkeypatch, hot, share):
-    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    monkeypatch.setattr(suffix_tree, "SEQUENCE_SHARE", hot)
+    monkeypatch.setattr(suffix_tree, "CONTEXT_COUNT", LEAST)
+    monkeypatch.setattr(suffix_tree, "NEXT_COUNT", NEXT)
     monkeypatch.setattr(suffix_tree, "WORD_SHARE", share)
     rows = corpus()
     got = {r.doc_id: r for r in scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
