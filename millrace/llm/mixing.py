@@ -21,14 +21,14 @@ BUCKET_ROWS, FAN_IN = 4_000, 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
-    """source, rank, n, source_size and target words of each source.
+    """source, rank, n, source_size and target words of each source; ``sizes`` has source, size and times.
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share ``share`` of all words by weight. No
     target exceeds ``most`` times its source's words; the excess goes to the others by weight until none exceeds. With
     sources in the order of the level at which each reaches its bound, that ends at the first whose bound is above the
     level left for it and those after it. The table has one row for each source; one task orders it.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.sum("times").alias("n"))
     ranked = by_source.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     bound = F.lit(float(most)) * F.col("source_size")
@@ -69,19 +69,41 @@ def round_pairwise(part: np.ndarray, size: np.ndarray, rng: np.random.Generator)
     return part, held
 
 
-def _node(rows: pd.DataFrame, level: int, seed: int) -> pd.DataFrame:
+def settle(part: np.ndarray, size: np.ndarray, held: int) -> np.ndarray:
+    """``part`` with the one open item's mass passed on to items that were left out, largest first, which then come in
+    whole; what is left is less than any item that is still out, and the least of these takes it if it is nearer."""
+    part, mass = part.copy(), part[held] * size[held]
+    part[held] = 0.0
+    out = np.flatnonzero(part == 0)
+    out = out[np.argsort(-size[out], kind="stable")]
+    for i in out:
+        if size[i] <= mass + 1e-9:
+            part[i], mass = 1.0, mass - size[i]
+    still = out[part[out] == 0]
+    if len(still) and 2 * mass >= size[still[-1]]:
+        part[still[-1]] = 1.0
+    return part
+
+
+def _node(rows: pd.DataFrame, level: int, seed: int, bucket_rows: int, fan_in: int) -> pd.DataFrame:
     """One node of the reduction tree. Its rows come in an order that doesn't depend on where they were read."""
     rows = rows.sort_values(["size", "turn", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
     name = f"{seed} {level} {rows['rank'][0]} {rows['node'][0]}"
-    part, held = round_pairwise(rows["part"].to_numpy(float), rows["size"].to_numpy(float), np.random.default_rng(xxhash.xxh3_64_intdigest(name)))
+    size = rows["size"].to_numpy(float)
+    part, held = round_pairwise(rows["part"].to_numpy(float), size, np.random.default_rng(xxhash.xxh3_64_intdigest(name)))
+    nodes = -(-int(rows["n"][0]) // bucket_rows)
+    for _ in range(level):
+        nodes = -(-nodes // fan_in)
+    if nodes <= 1 and held >= 0:
+        part, held = settle(part, size, held), -1
     rows["part"] = part
     rows["open"] = np.arange(len(rows)) == held
     return rows
 
 
-def _at(level: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _at(level: int, seed: int, bucket_rows: int, fan_in: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def node(rows: pd.DataFrame) -> pd.DataFrame:
-        return _node(rows, level, seed)
+        return _node(rows, level, seed, bucket_rows, fan_in)
 
     return node
 
@@ -91,40 +113,48 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.0
 
     size counts words (null text: 0). A document's mean number of copies is target / source_size; the fraction is
     rounded by pairs: in buckets of about BUCKET_ROWS documents of a source by a hash, then among the residual
-    documents of FAN_IN buckets, and so on up to one residual for each source, which is drawn. So a source's taken
-    words are within one document of its target, no document is taken over ``most`` times, and reruns agree. Rows
-    without words are taken 0 times; repeated rows are rounded one by one; an empty table gives no rows.
+    documents of FAN_IN buckets, and so on up to one residual for each source, which passes its mass on to smaller
+    documents of its last node. So a source's taken words are within half a document of its target, no document is taken
+    over ``most`` times, and reruns agree. Rows without words are taken 0 times; repeated rows, with a doc_id or without,
+    are rounded one by one and spread over buckets; an empty table gives no rows.
     """
-    plan = _plan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), weights, share, most, seed)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    plan = _plan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("text_hash")), weights, share, most, seed)
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def _plan(sizes: DataFrame, weights: Sequence[int], share: float, most: int, seed: int) -> DataFrame:
     """The rows of ``sizes`` (doc_id, source, size, any others) with source_size, target, copies and taken."""
-    sizes = shared.save(sizes, "mix-sizes")
+    keys = sizes.columns
+    sizes = shared.save(sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")), "mix-sizes")
     targets = shared.save(source_targets(sizes, weights, share, most).coalesce(1), "mix-targets")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(F.col("mean") + F.lit(1e-9))
     rows = sizes.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rows = rows.withColumn("mean", wanted).withColumn("whole", whole).withColumn("part", F.greatest(F.col("mean") - whole, F.lit(0.0)))
-    rows = rows.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    rows = rows.withColumn("node", F.pmod("turn", F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("long")))
+    # Equal rows go to one bucket after the other, BUCKET_ROWS at most to each.
+    shares = F.ceil(F.col("times") / F.lit(BUCKET_ROWS)).cast("long")
+    rows = rows.withColumn("shares", shares).withColumn("turn", F.xxhash64(F.lit(seed), *keys)).withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    buckets = F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("long")
+    rows = rows.withColumn("node", F.pmod(F.pmod("turn", buckets) + F.col("of"), buckets))
+    mine = F.floor(F.col("times") / F.col("shares")) + (F.col("of") < F.col("times") % F.col("shares")).cast("long")
+    rows = rows.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), mine))).drop("times", "shares", "of", "each")
     rounds = (F.col("size") > 0) & (F.col("part") > 1e-9)
 
     kept = [f for f in rows.schema.fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "open boolean"])
-    level0 = shared.save(rows.filter(rounds).groupBy("rank", "node").applyInPandas(_at(0, seed), schema), "mix-rounded")
-    settled = [level0.filter("NOT open").drop("open")]
-    rest, level = level0.filter("open").drop("open"), 1
+
+    def rounded(some: DataFrame, level: int) -> DataFrame:
+        return shared.save(some.groupBy("rank", "node").applyInPandas(_at(level, seed, BUCKET_ROWS, FAN_IN), schema), "mix-rounded")
+
+    done = rounded(rows.filter(rounds), 0)
+    settled, level = [done.filter("NOT open").drop("open")], 0
     nodes = max(1, -(-(targets.agg(F.max("n")).first()[0] or 1) // BUCKET_ROWS))
     while nodes > 1:
-        nodes = -(-nodes // FAN_IN)
-        up = rest.withColumn("node", F.floor(F.col("node") / F.lit(FAN_IN)).cast("long"))
-        done = shared.save(up.groupBy("rank", "node").applyInPandas(_at(level, seed), schema), "mix-rounded")
+        nodes, level = -(-nodes // FAN_IN), level + 1
+        done = rounded(done.filter("open").drop("open").withColumn("node", F.floor(F.col("node") / F.lit(FAN_IN)).cast("long")), level)
         settled.append(done.filter("NOT open").drop("open"))
-        rest, level = done.filter("open").drop("open"), level + 1
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "rank"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    settled.append(rest.withColumn("part", (drawn < F.col("part")).cast("double")))
     settled.append(rows.filter(~rounds).withColumn("part", F.lit(0.0)))
     result = reduce(DataFrame.unionByName, settled)
     count = F.when(F.col("size") > 0, F.col("whole") + F.col("part").cast("long")).otherwise(F.lit(0)).cast("long")
