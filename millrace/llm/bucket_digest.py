@@ -19,8 +19,10 @@ BUCKETS = 128
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 #: A difference from which two fingerprints are wholly unlike.
 FARTHEST = 300
-#: Rows of one range of doc_ids, about.
-RANGE_ROWS = 4_000
+#: Rows of one range of doc_ids, about, while there are fewer than MOST_RANGES; beyond that ranges grow.
+RANGE_ROWS, MOST_RANGES = 4_000, 1 << 15
+#: Rows whose keys are drawn for the ends of the ranges, for each range.
+DRAWN = 16
 
 
 def digests(texts: list[bytes]) -> np.ndarray:
@@ -121,29 +123,67 @@ def _compared(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _ranges(keys: list[int | None], ranges: int) -> tuple[list[float], list[tuple[int, int, int]]]:
+    """Cuts of the doc_ids, rising, and for each bucket between them, and for null (the last), its number, the first of
+    its ranges, and how many ranges it is split into by the hash of the text.
+
+    ``keys`` are drawn doc_ids. Buckets follow the order of rows, doc_ids falling and null last. A doc_id that
+    holds several shares of the rows alone, and null, become a bucket of their own with as many ranges.
+    """
+    ids = sorted(i for i in keys if i is not None)
+    share = max(1, len(keys) // ranges)
+    ends = [ids[k] for k in range(share, len(ids), share)]
+    cuts, alone = set(), {}
+    for i in ends:
+        cuts.add(i)
+        alone[i] = alone.get(i, 0) + 1
+    alone = {float(i): n for i, n in alone.items() if n > 1 and float(i) < float(i + 1)}  # doubles hold it apart
+    cuts = sorted({float(i) for i in cuts} | {i + 1 for i in alone})
+    table, at = [], 0
+    for bucket in range(len(cuts), -1, -1):  # bucket b holds doc_ids from cut b - 1 to below cut b
+        n = alone.get(cuts[bucket - 1], 1) if bucket else 1
+        table.append((bucket, at, n))
+        at += n
+    nulls = len(keys) - len(ids)
+    table.append((-1, at, max(1, nulls // share)))
+    return cuts, table
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one before in doc_id order, after the last the first. Rows of one doc_id follow by a hash
-    of their text; rows without doc_id come last. Ranges of doc_ids go to one task each, in order, and the first rows
-    of a range go to the range before it as well, so no row passes through more than two tasks. A single row is its own
-    next. Null texts are empty; an empty table gives no rows; other columns are not read.
+    of their text; rows without doc_id come last. Ranges of doc_ids, and of hashes where one doc_id or null holds many
+    rows, go to one task each, in order, and the first row of a range goes to the range before it as well, so no row
+    passes through more than two tasks. The driver sees DRAWN keys and one row for each of MOST_RANGES ranges at most. A
+    single row is its own next. Null texts are empty; an empty table gives no rows; other columns are not read.
     """
     shared.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    ranges = max(1, -(-n // RANGE_ROWS))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 64 * ranges / max(1, n)) * (1 << 30)))
-    ids = sorted({float(r.doc_id) for r in rows.select("doc_id").filter("doc_id IS NOT NULL").filter(drawn).collect()}) if ranges > 1 else []
-    cuts = sorted({ids[len(ids) * k // ranges] for k in range(1, ranges)}) if ids else []
-    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    cut = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="place", outputCol="at")
-    placed = cut.transform(rows.withColumn("place", place)).withColumn("range", F.col("at").cast("int")).drop("place", "at")
-
-    tops = sorted((r.range, r.top) for r in placed.groupBy("range").agg(F.max("doc_id").alias("top")).collect())
-    lends = spark.createDataFrame([(of, top, tops[(k + 1) % len(tops)][0]) for k, (of, top) in enumerate(tops)], "of int, top long, to int")
-    borrowed = placed.join(F.broadcast(lends), (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    dealt = placed.withColumn("borrowed", F.lit(0)).unionByName(borrowed.select("doc_id", "text", F.col("to").alias("range"), F.lit(1).alias("borrowed")))
-    dealt = dealt.repartitionById(max(1, len(tops)), F.col("range")).sortWithinPartitions("range", "borrowed", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    n = docs.count()
+    ranges = min(MOST_RANGES, max(1, -(-n // RANGE_ROWS)))
+    cuts, table = [], [(0, 0, 1), (-1, 1, 1)]
+    if ranges > 1:
+        drawn = F.rand(1) < F.lit(DRAWN * ranges / n)  # which keys are drawn moves the ends of ranges, not the result
+        cuts, table = _ranges(rows.select("doc_id").filter(drawn).toArrow().column(0).to_pylist(), ranges)
+    bucket = F.lit(0)
+    if cuts:
+        cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="place", outputCol="at")
+        rows = cut.transform(rows.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)))).drop("place")
+        bucket = F.col("at").cast("int")
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket))
+    split = spark.createDataFrame(table, "bucket int, base int, parts int")
+    part = F.least(F.floor((F.shiftright("text_hash", 1) / F.lit(float(1 << 63)) + 0.5) * F.col("parts")).cast("int"), F.col("parts") - 1)
+    placed = rows.join(F.broadcast(split), "bucket").select("doc_id", "text", "text_hash", (F.col("base") + part).alias("range"))
+
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("falling"), F.col("text_hash"))
+    tops = sorted(tuple(r) for r in placed.groupBy("range").agg(F.min(order).alias("top")).select("range", "top.*").collect())
+    lends = [(*top, tops[k - 1][0]) for k, top in enumerate(tops)]
+    lends = spark.createDataFrame(lends, "range int, no_id boolean, falling long, text_hash long, to int")
+    keyed = placed.select("*", order.no_id.alias("no_id"), order.falling.alias("falling"))
+    borrowed = keyed.join(F.broadcast(lends), ["range", "no_id", "falling", "text_hash"]).dropDuplicates(["to"])
+    dealt = keyed.withColumn("borrowed", F.lit(0)).drop("no_id", "falling").unionByName(borrowed.select("doc_id", "text", "text_hash", F.col("to").alias("range"), F.lit(1).alias("borrowed")))
+    dealt = dealt.repartitionById(max(1, tops[-1][0] + 1 if tops else 1), F.col("range")).sortWithinPartitions("range", "borrowed", F.col("doc_id").desc_nulls_last(), "text_hash", "text")
     return dealt.select("range", "borrowed", "doc_id", "text").mapInArrow(_in_order, _SCHEMA)
