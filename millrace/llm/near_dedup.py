@@ -18,17 +18,20 @@ from millrace.llm.superminhash import shingles, signatures
 #: Bands of slots: a pair at similarity 0.85 shares no band with a probability below 2e-8.
 BANDS, BAND_SLOTS = 24, 4
 
-#: Members of a candidate group that one task compares with one another, at most twice that many.
-BLOCK = 1024
+#: Members of a candidate group that one task compares with one another, at most about twice that many, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+
+#: What tells the two halves of a set's digest apart.
+SALTS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 #: Columns of the incidence matrix held at a time.
 COLUMNS = 4096
 
 
-def _set_digest(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+def _set_digest(row: np.ndarray, value: np.ndarray, n: int, salt: int) -> np.ndarray:
     """A 64-bit digest of each row's set: the mixed sum of its mixed elements and its size."""
     total = np.zeros(n, np.uint64)
-    np.add.at(total, row, mix(value ^ np.uint64(0xA0761D6478BD642F)))
+    np.add.at(total, row, mix(value ^ np.uint64(salt)))
     return mix(total + np.bincount(row, minlength=n).astype(np.uint64))
 
 
@@ -45,7 +48,7 @@ def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
                 bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
             bands[n == 0] = 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(long(bands.ravel())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(n, pa.int64()), pa.array(long(_set_digest(row, value, b - a))), lists], ["doc_id", "text_hash", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(n, pa.int64()), *(pa.array(long(_set_digest(row, value, b - a, salt))) for salt in SALTS), lists], ["doc_id", "text_hash", "n_shingles", "node", "other", "bands"])
 
 
 def _links(group: pa.Table, words: int, percent: int) -> pa.Table:
@@ -92,6 +95,10 @@ def _links(group: pa.Table, words: int, percent: int) -> pa.Table:
     return pa.table({"a": node[far], "b": node[root[far]]})
 
 
+def _blocks(size: Column, shingles_in: Column) -> Column:
+    return F.greatest(F.ceil(size / F.lit(BLOCK)), F.ceil(shingles_in / F.lit(BLOCK_SHINGLES))).cast("long")
+
+
 def _large_links(large: DataFrame, banded: DataFrame, linked: Callable[..., DataFrame]) -> DataFrame:
     """Edges of candidate groups of several blocks.
 
@@ -106,8 +113,8 @@ def _large_links(large: DataFrame, banded: DataFrame, linked: Callable[..., Data
     by_hub = shared.save(linked(marked.filter("NOT hub").select("node", "text", "hub", "root", "block").unionByName(everywhere), "root", "block"), "near-hub-links")
 
     settled = by_hub.join(hubs, F.col("b") == F.col("hub_node"), "left_semi").select(F.col("a").alias("node"))
-    open_ = shared.save(marked.filter("NOT hub").join(settled, "node", "left_anti").select("node", "text", "root", "blocks"), "near-open")
-    parts = open_.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("parts"))
+    open_ = shared.save(marked.filter("NOT hub").join(settled, "node", "left_anti").select("node", "text", "root", "blocks", "n_shingles"), "near-open")
+    parts = open_.groupBy("root").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts"))
     apart = F.lit(False).alias("hub")
     some = open_.join(parts, "root").select("node", "text", apart, "root", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     all_ = large.join(parts, "root").select("node", "text", apart, "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block")
@@ -128,7 +135,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents link when 100 * |A and B| >= percent * |A or B| over their distinct ``words``-word shingles (A-Z as a-z).
-    Equal sets are one class, known by a 64-bit digest. Classes that share a band form candidate groups, and inside a
+    Equal sets are one class, known by a 128-bit digest. Classes that share a band form candidate groups, and inside a
     group classes are compared on full sets: a group over BLOCK classes first block by block with its hub, then those
     that the hub doesn't reach with all, each pair of blocks in a task of its own; tasks return a spanning forest of the
     links, not the pairs. component_id is the least doc_id
@@ -142,18 +149,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 def _verdicts(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``near_duplicates`` with the hash of each row's text and a key of its component, null for texts without words."""
     shared.small_batches(docs.sparkSession)
-    prints = shared.save(_text(docs).mapInArrow(partial(_prints, words=words), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"), "near-prints")
+    prints = shared.save(_text(docs).mapInArrow(partial(_prints, words=words), "doc_id long, text_hash long, n_shingles long, node long, other long, bands array<long>"), "near-prints")
     some = prints.filter("n_shingles > 0")
-    classes = shared.save(some.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct(*_row_key())).alias("row")), "near-classes")
+
+    def in_classes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct(*_row_key())).alias("row"), F.max("n_shingles").alias("n_shingles"), F.min("other").alias("least"), F.max("other").alias("most"))
+
+    classes = shared.save(in_classes(some), "near-classes")
+    clash = classes.filter("least <> most").select("node", F.lit(True).alias("clash"))
+    if not clash.isEmpty():  # different sets with one first half: both halves make their node
+        apart = F.when(F.col("clash"), F.xxhash64("node", "other")).otherwise(F.col("node"))
+        some = shared.save(some.join(clash, "node", "left").withColumn("node", apart).drop("clash"), "near-apart")
+        classes = shared.save(in_classes(some), "near-classes")
     banded = some.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
     stars = banded.join(buckets, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     stars = components(stars, "near-candidates")
 
-    groups = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    blocks = stars.groupBy("root").agg(F.ceil((F.count(F.lit(1)) + 1) / F.lit(BLOCK)).cast("long").alias("blocks"))
-    members = groups.join(blocks, "root").join(classes, "node").select("row.*", "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    columns = ["node", "root", "text", "blocks", "block"]
+    groups = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "row", "n_shingles"), "node")
+    blocks = groups.groupBy("root").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"))
+    members = groups.join(blocks, "root").select("row.*", "node", "root", "n_shingles", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    columns = ["node", "root", "text", "n_shingles", "blocks", "block"]
     found = _text(docs).select("text", *_row_key()).join(members, ["no_id", "id", "text_hash"])
     without_id = found.filter("no_id").select(*columns).dropDuplicates(["node", "block"])  # equal texts may be many
     members = shared.save(found.filter("NOT no_id").select(*columns).unionByName(without_id), "near-members")
@@ -162,7 +178,8 @@ def _verdicts(docs: DataFrame, words: int, percent: int) -> DataFrame:
         return _links(group, words, percent)
 
     def linked(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.select("node", "text", "hub", *by).groupBy(*by).applyInArrow(forest, "a long, b long")
+        # Dealt by all of ``by``: what a join has dealt by the root alone would leave all blocks of a group in one task.
+        return rows.select("node", "text", "hub", *by).repartition(*by).groupBy(*by).applyInArrow(forest, "a long, b long")
 
     links = linked(members.filter("blocks = 1").withColumn("hub", F.lit(False)), "root")
     large = members.filter("blocks > 1")
