@@ -35,7 +35,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.scores(documents(spark, sf_dir))
+    return suffix_tree.scores(documents(spark, sf_dir), depth=5, context_count=512, next_count=16)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

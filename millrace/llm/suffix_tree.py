@@ -20,12 +20,12 @@ from millrace.llm.slots import among, bitmap
 PARTS, HELD_OUT = 10, 0
 #: Least share of all training tokens of a word that is looked up in memory: at most 1 / share exist, whatever the input.
 #: Rarer words are counted and scored by joins.
-WORD_SHARE = 1e-6
+WORD_SHARE = 2e-7
 #: Occurrences that a context needs to be tested, and that it needs with a next word for that to be listed; they don't
 #: depend on the size of the input.
 CONTEXT_COUNT, NEXT_COUNT = 32, 8
 #: Words of the longest context that is tested.
-DEPTH = 6
+DEPTH = 5
 #: Least share of all training tokens of a context or next word that is looked up in memory: at most 1 / share of each
 #: length exist. All others are scored by joins.
 SEQUENCE_SHARE = 5e-7
@@ -256,22 +256,22 @@ def _level(listed: DataFrame, totals: DataFrame, depth: int) -> tuple[DataFrame,
     return contexts, shared.save(grams.mapInArrow(_keyed, "key long, context long, up long, n long, prob double, gain double"), f"tree-nexts-{depth}")
 
 
-def _grown(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, depth_limit: int) -> tuple[DataFrame, int]:
+def _grown(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, most_words: int, context_count: int, next_count: int) -> tuple[DataFrame, int]:
     """All retained contexts and listed next words, by length until no context of a length is retained or it is
-    ``depth_limit``: key, length, n, rest, gain, kept (whether it is a context); and the largest length."""
+    ``most_words``: key, length, n, rest, gain, kept (whether it is a context); and the largest length."""
     spark = training.sparkSession
     empty = "key long, length int, n long, rest double, gain double, kept boolean"
     parts: list[DataFrame] = [spark.createDataFrame([], empty)]
-    one, two = bitmap(counts.filter(F.col("n") >= CONTEXT_COUNT), "word"), bitmap(counts.filter(F.col("n") >= NEXT_COUNT), "word")
-    totals = counts.filter(F.col("n") >= CONTEXT_COUNT).select(F.col("word").alias("context"), F.col("n").alias("total"))
-    shorter = counts.filter(F.col("n") >= NEXT_COUNT).select(F.col("word").alias("up"), ((F.col("n") + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1))).alias("shorter"))
+    one, two = bitmap(counts.filter(F.col("n") >= context_count), "word"), bitmap(counts.filter(F.col("n") >= next_count), "word")
+    totals = counts.filter(F.col("n") >= context_count).select(F.col("word").alias("context"), F.col("n").alias("total"))
+    shorter = counts.filter(F.col("n") >= next_count).select(F.col("word").alias("up"), ((F.col("n") + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1))).alias("shorter"))
     total_row = F.col("up") == F.lit(int(long(TOTAL)))
-    for depth in range(1, depth_limit + 1):
+    for depth in range(1, most_words + 1):
         known = spark.sparkContext.broadcast((one, two))
-        nexts = training.mapInArrow(partial(_nexts, known=known, depth=depth), "context long, up long, n long").groupBy("context", "up").agg(F.sum("n").alias("n")).filter(F.col("n") >= NEXT_COUNT)
+        nexts = training.mapInArrow(partial(_nexts, known=known, depth=depth), "context long, up long, n long").groupBy("context", "up").agg(F.sum("n").alias("n")).filter(F.col("n") >= next_count)
         if depth > 1:
             nexts = shared.save(nexts, f"tree-pairs-{depth}")
-            totals = nexts.filter(total_row & (F.col("n") >= CONTEXT_COUNT)).select("context", F.col("n").alias("total"))
+            totals = nexts.filter(total_row & (F.col("n") >= context_count)).select("context", F.col("n").alias("total"))
             nexts = nexts.filter(~total_row)
         listed = shared.save(nexts.join(shorter, "up").select("context", "up", "n", "shorter"), f"tree-listed-{depth}")
         contexts, grams = _level(listed, totals, depth)
@@ -281,7 +281,7 @@ def _grown(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int,
         parts.append(contexts.select(F.col("context").alias("key"), F.lit(depth).alias("length"), F.col("total").alias("n"), "rest", no.alias("gain"), F.lit(True).alias("kept")))
         parts.append(grams.select("key", F.lit(depth + 1).alias("length"), "n", no.alias("rest"), "gain", F.lit(False).alias("kept")))
         if depth == 1:
-            two = bitmap(listed.filter(F.col("n") >= CONTEXT_COUNT).mapInArrow(_keyed_pairs, "key long"), "key")
+            two = bitmap(listed.filter(F.col("n") >= context_count).mapInArrow(_keyed_pairs, "key long"), "key")
         one = bitmap(contexts, "context")
         shorter = grams.select(F.col("key").alias("up"), F.col("prob").alias("shorter"))
     return shared.save(_union(parts), "tree-weights"), len(parts) // 2 + 1
@@ -299,19 +299,19 @@ def _table(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [got.column(c).to_numpy() for c in columns]
 
 
-def fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, depth: int = DEPTH) -> Model:
+def fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, depth: int = DEPTH, context_count: int = CONTEXT_COUNT, next_count: int = NEXT_COUNT) -> Model:
     """The tree from ``training`` (text) and its word counts, as far as it is looked up in memory."""
-    return _fit(training, counts, n_tokens, n_words, depth)[0]
+    return _fit(training, counts, n_tokens, n_words, depth, context_count, next_count)[0]
 
 
-def _fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, depth: int) -> tuple[Model, DataFrame]:
+def _fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, depth: int, context_count: int, next_count: int) -> tuple[Model, DataFrame]:
     """The model in memory and all of the tree as a table; only tables with a proven bound reach the driver."""
     most = counts.filter(F.col("n") >= max(1.0, WORD_SHARE * n_tokens))
     word, n = _table(most, "word", "n")
     order = np.argsort(word.view(np.uint64))
     listed, n = word.view(np.uint64)[order], n[order]
     root = np.log10((n + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1)))
-    weights, lengths = _grown(training, counts, n_tokens, n_words, depth)
+    weights, lengths = _grown(training, counts, n_tokens, n_words, depth, context_count, next_count)
 
     # Words as contexts go with the words.
     least = F.when(F.col("length") == 1, F.lit(max(1.0, WORD_SHARE * n_tokens))).otherwise(F.lit(max(1.0, SEQUENCE_SHARE * n_tokens)))
@@ -351,13 +351,13 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.
         )
 
 
-def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH, context_count: int = CONTEXT_COUNT, next_count: int = NEXT_COUNT) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the doc_id leaves HELD_OUT of PARTS teach nothing; rows without doc_id teach. Tokens are the
     words, A-Z as a-z, then one end; null texts are the end alone. Words are known by a 64-bit hash. Words below
     WORD_SHARE, and contexts and next words below SEQUENCE_SHARE, are scored by a join with all of them. Contexts have at
-    most ``depth`` words. Repeated rows count and score one by one; an empty table gives no rows; other columns are not
+    most ``depth`` words and need ``context_count`` occurrences, their listed next words ``next_count``. Repeated rows count and score one by one; an empty table gives no rows; other columns are not
     read.
     """
     shared.small_batches(docs.sparkSession)
@@ -366,7 +366,7 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     training = rows.filter(~held_out(F.col("doc_id"), PARTS, HELD_OUT)).select("text")
     counts = shared.save(training.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "tree-counts")
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree, others = _fit(training, counts, n_tokens, n_words, depth)
+    tree, others = _fit(training, counts, n_tokens, n_words, depth, context_count, next_count)
     model = spark.sparkContext.broadcast(tree)
     schema = "doc_id long, n_tokens long, listed long, base double, beyond double, rare array<long>, times array<int>"
     parts = shared.save(rows.mapInArrow(partial(_scored, model=model), schema).withColumn("row", F.monotonically_increasing_id()), "tree-parts")

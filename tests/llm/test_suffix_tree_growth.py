@@ -75,11 +75,10 @@ def corpus():
 @pytest.mark.parametrize("share", [1e-6, 1e-2])
 def test_equals_brute_force(spark, monkeypatch, hot, share):
     monkeypatch.setattr(suffix_tree, "SEQUENCE_SHARE", hot)
-    monkeypatch.setattr(suffix_tree, "CONTEXT_COUNT", LEAST)
-    monkeypatch.setattr(suffix_tree, "NEXT_COUNT", NEXT)
     monkeypatch.setattr(suffix_tree, "WORD_SHARE", share)
     rows = corpus()
-    got = {r.doc_id: r for r in scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in scores(docs, context_count=LEAST, next_count=NEXT).collect()}
     sentences = {d: [None, *t.split(), None] for d, t in rows}
     levels, root, unseen = tree([s for d, s in sentences.items() if not got[d].held_out])
     assert len(levels) >= 3 and any(c[0] in ("left", "right") for c in levels[2])
