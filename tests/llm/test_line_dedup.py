@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 import numpy as np
 
-from millrace.llm.line_dedup import NEAR_CHARS, without_repeated_lines
+from millrace.llm.line_dedup import CHARS_PER_EDIT, without_repeated_lines
 
 
 def within_one(a, b):
@@ -26,7 +27,7 @@ def expected(rows):
             if not x.strip(" \t\n\x0b\x0c\r"):
                 left.append(x)
                 continue
-            if not any(x == y or min(len(x), len(y)) >= NEAR_CHARS and within_one(x, y) for y in seen):
+            if not any(x == y or max(len(x), len(y)) >= CHARS_PER_EDIT and within_one(x, y) for y in seen):
                 left.append(x)
             seen.append(x)
         out[d] = (len(lines), len(lines) - len(left), "\n".join(left))
@@ -55,6 +56,16 @@ def test_equals_brute_force(spark):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in without_repeated_lines(docs).collect()} == expected(rows)
 
 
+def test_lines_of_a_million_characters(spark):
+    rng = np.random.default_rng(9)
+    line = "".join(rng.choice(list("abcdefgh "), 1_000_000))
+    rows = [(1, line), (2, line[:400_000] + "é" + line[400_001:]), (3, line[1:]), (4, line[:-5] + "12345"), (5, "é" * 1_000_000 + "\n" + "é" * 999_999)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    began = time.time()
+    got = {r.doc_id: r.n_removed for r in without_repeated_lines(docs).select("doc_id", "n_removed").collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1} and time.time() - began < 60
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "same line"), (3, "same line"), (3, "same line"), (3, "other"), (None, "lone")], "doc_id long, text string")
     assert without_repeated_lines(docs.limit(0)).collect() == []
