@@ -15,7 +15,7 @@ from millrace.llm.shared import documents
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeated_bytes.without_repeats(documents(spark, sf_dir))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH h AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), s AS MATERIALIZED (
+            SELECT doc_id, i, md5(substring(x, 2 * i + 1, 448)) AS near, CASE WHEN i + 400 <= n THEN md5(substring(x, 2 * i + 1, 800)) END AS far
+            FROM (SELECT doc_id, x, n, unnest(range(0, n - 223)) AS i FROM h)
+        ), starts AS (
+            SELECT doc_id, i, 224 AS length FROM s WHERE near IN (SELECT near FROM s GROUP BY near HAVING count(*) > 1)
+            UNION ALL SELECT doc_id, i, 400 FROM s WHERE far IN (SELECT far FROM s WHERE far IS NOT NULL GROUP BY far HAVING count(*) > 1)
+        ), marked AS (
+            SELECT doc_id, length, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, length ORDER BY i) + length THEN 0 ELSE 1 END AS opens FROM starts
+        ), numbered AS (
+            SELECT doc_id, length, i, sum(opens) OVER (PARTITION BY doc_id, length ORDER BY i) AS span FROM marked
+        ), spans AS (
+            SELECT doc_id, length, min(i) AS a, max(i) + length AS b FROM numbered GROUP BY doc_id, length, span
+        ), pieces AS (
+            SELECT doc_id, a AS place, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, a AS to_ FROM spans WHERE length = 400
+            UNION ALL SELECT h.doc_id, h.n, coalesce(max(b), 0), h.n FROM h LEFT JOIN spans ON spans.doc_id = h.doc_id AND length = 400 GROUP BY h.doc_id, h.n
+        ), kept AS (
+            SELECT doc_id, string_agg(substring(x, 2 * from_ + 1, 2 * (to_ - from_)), '' ORDER BY place, from_) AS x FROM pieces JOIN h USING (doc_id) GROUP BY doc_id
+        ), sums AS (
+            SELECT doc_id, sum(b - a) FILTER (WHERE length = 400) AS n_removed, count(*) FILTER (WHERE length = 400) AS n_spans, sum(b - a) FILTER (WHERE length = 224) AS n_repeated FROM spans GROUP BY doc_id
+        )
+        SELECT h.doc_id, h.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(kept.x)) AS kept_sha256, coalesce(n_repeated, 0)::BIGINT AS n_repeated
+        FROM h JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+    """,
+    "op9_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i AS nth, ls[i] AS line, len(ls) AS n_lines FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+        ), firsts AS MATERIALIZED (
+            SELECT line, min(row(doc_id, nth)) AS place, length(line) AS n FROM l WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY line
+        ), halves AS (
+            SELECT f.line, f.place, f.n, s AS short, k, CASE k WHEN 0 THEN left(f.line, s // 2) ELSE right(f.line, s - s // 2) END AS half
+            FROM firsts f, unnest([f.n, f.n - 1]) AS a(s), unnest([0, 1]) AS b(k) WHERE f.n >= 15
+        ), near AS (
+            SELECT DISTINCT a.place FROM halves a JOIN halves b ON a.short = b.short AND a.k = b.k AND a.half = b.half AND b.place < a.place
+            WHERE greatest(a.n, b.n) >= 16 AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) <= 1
+        ), stays AS (
+            SELECT row(doc_id, nth) IN (SELECT place FROM firsts WHERE place NOT IN (SELECT place FROM near)) OR NOT regexp_matches(line, '[^ \t\n\x0B\f\r]') AS stays, * FROM l
+        )
+        SELECT doc_id, any_value(n_lines)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE stays), '')) AS kept_sha256
+        FROM stays GROUP BY doc_id
+    """,
     "op4_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents

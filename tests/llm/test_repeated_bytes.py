@@ -6,23 +6,31 @@ import numpy as np
 import pytest
 
 from millrace.llm import repeated_bytes
-from millrace.llm.repeated_bytes import LENGTH, without_repeats
+from millrace.llm.repeated_bytes import LEAST, LENGTH, without_repeats
 
 
-def expected(rows):
+def gone(raws, length):
+    """Which bytes of each text a string of ``length`` bytes covers that starts elsewhere too."""
     where = defaultdict(int)
-    raws = [(t or "").encode() for _, t in rows]
     for raw in raws:
-        for i in range(len(raw) - LENGTH + 1):
-            where[raw[i : i + LENGTH]] += 1
+        for i in range(len(raw) - length + 1):
+            where[raw[i : i + length]] += 1
+    out = []
+    for raw in raws:
+        marks = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if where[raw[i : i + length]] > 1:
+                marks[i : i + length] = b"\1" * length
+        out.append(marks)
+    return out
+
+
+def expected(rows):
     out = Counter()
-    for (d, _), raw in zip(rows, raws, strict=True):
-        gone = bytearray(len(raw))
-        for i in range(len(raw) - LENGTH + 1):
-            if where[raw[i : i + LENGTH]] > 1:
-                gone[i : i + LENGTH] = b"\1" * LENGTH
-        spans = sum(gone[i] and (i == 0 or not gone[i - 1]) for i in range(len(raw)))
-        out[d, len(raw), sum(gone), spans, bytes(b for b, g in zip(raw, gone, strict=True) if not g)] += 1
+    raws = [(t or "").encode() for _, t in rows]
+    for (d, _), raw, far, near in zip(rows, raws, gone(raws, LENGTH), gone(raws, LEAST), strict=True):
+        spans = sum(far[i] and (i == 0 or not far[i - 1]) for i in range(len(raw)))
+        out[d, len(raw), sum(far), spans, sum(near), bytes(b for b, g in zip(raw, far, strict=True) if not g)] += 1
     return out
 
 
@@ -35,6 +43,8 @@ def fixture():
     edited = long[:700] + "X" + long[701:]
     rows += [(20, long), (21, edited), (22, edited), (23, "a" * 2000), (24, "ab" * 300), (25, "a" * 400), (26, None), (27, ""), (28, "short"), (29, long[3:]), (30, "é" * 500)]
     rows += [(40 + i, text(50) + passage[int(rng.integers(0, 100)) : 600] + text(50)) for i in range(10)]
+    rows += [(60 + i, text(40) + x + text(i)) for i, x in enumerate([text(30) + passage[50:274], passage[50:274], passage[60:283], other[-230:], other[-399:], other[-224:] + "\0" * 200, other[-224:] + "\0" * 200])]
+    rows += [(80, text(100) + passage[:300]), (81, text(90) + passage[:300]), (82, passage[:300])]
     return [*rows, (23, "a" * 2000), (None, text(20) + other)]
 
 
@@ -43,7 +53,7 @@ def test_equals_brute_force(spark, monkeypatch, often):
     monkeypatch.setattr(repeated_bytes, "OFTEN", often)
     rows = fixture()
     docs = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, core int").repartition(3)
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in without_repeats(docs).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_repeated, bytes(r.kept)) for r in without_repeats(docs).collect())
     assert got == expected(rows)
 
 
