@@ -20,17 +20,16 @@ from millrace.llm.slots import among, bitmap
 PARTS, HELD_OUT = 10, 0
 #: Least share of all training tokens of a word that is looked up in memory: at most 1 / share exist, whatever the input.
 #: Rarer words are counted and scored by joins.
-WORD_SHARE = 2e-7
+WORD_SHARE = 1e-6
 #: Occurrences that a context needs to be tested, and that it needs with a next word for that to be listed; they don't
 #: depend on the size of the input.
 CONTEXT_COUNT, NEXT_COUNT = 32, 8
 #: Words of the longest context that is tested.
 DEPTH = 5
-#: Least share of all training tokens of a context or next word that is looked up in memory: at most 1 / share of each
-#: length exist. All others are scored by joins.
-SEQUENCE_SHARE = 5e-7
+#: Longer contexts and next words that are looked up in memory, the most frequent ones; all others are scored by joins.
+HOT = 1 << 20
 #: Tokens whose contexts and next words are counted together in a task.
-COUNTED = 1 << 20
+COUNTED = 1 << 18
 #: Weight, in tokens, of the shorter context in a context's next-word shares.
 PRIOR_TOKENS = 20.0
 #: Standard errors by which a context's divergence from the shorter one must exceed what chance gives.
@@ -165,7 +164,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = texts(batch.column("text"))
-        found = [np.unique(sequence(buf[off[a] : off[b]], off[a : b + 1] - off[a])[0], return_counts=True) for a, b in steps(off, 4 << 20)]
+        found = [np.unique(sequence(buf[off[a] : off[b]], off[a : b + 1] - off[a])[0], return_counts=True) for a, b in steps(off, 1 << 20)]
         if found:
             key, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
             n = np.bincount(back, np.concatenate([c for _, c in found])).astype(np.int64)
@@ -313,9 +312,16 @@ def _fit(training: DataFrame, counts: DataFrame, n_tokens: int, n_words: int, de
     root = np.log10((n + UNSEEN) / (n_tokens + UNSEEN * (n_words + 1)))
     weights, lengths = _grown(training, counts, n_tokens, n_words, depth, context_count, next_count)
 
-    # Words as contexts go with the words.
-    least = F.when(F.col("length") == 1, F.lit(max(1.0, WORD_SHARE * n_tokens))).otherwise(F.lit(max(1.0, SEQUENCE_SHARE * n_tokens)))
-    hot = F.col("n") >= least
+    # Words as contexts go with the words; of longer sequences those at the top of a histogram of frequencies do.
+    bin_ = F.floor(16 * F.log(F.col("n").cast("double")))
+    sizes = weights.filter("length > 1").groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("keys")).collect()
+    least, room = max((r["bin"] for r in sizes), default=0) + 1, HOT
+    for r in sorted(sizes, key=lambda r: -r["bin"]):
+        room -= r["keys"]
+        if room < 0:
+            break
+        least = r["bin"]
+    hot = F.when(F.col("length") == 1, F.col("n") >= max(1.0, WORD_SHARE * n_tokens)).otherwise(bin_ >= least)
     key, length, rest, gain, kept = _table(weights.filter(hot), "key", "length", "rest", "gain", "kept")
     levels = []
     for k in range(1, lengths + 1):
@@ -355,10 +361,10 @@ def scores(docs: DataFrame, depth: int = DEPTH, context_count: int = CONTEXT_COU
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the doc_id leaves HELD_OUT of PARTS teach nothing; rows without doc_id teach. Tokens are the
-    words, A-Z as a-z, then one end; null texts are the end alone. Words are known by a 64-bit hash. Words below
-    WORD_SHARE, and contexts and next words below SEQUENCE_SHARE, are scored by a join with all of them. Contexts have at
-    most ``depth`` words and need ``context_count`` occurrences, their listed next words ``next_count``. Repeated rows count and score one by one; an empty table gives no rows; other columns are not
-    read.
+    words, A-Z as a-z, then one end; null texts are the end alone. Words are known by a 64-bit hash. Contexts have at most
+    ``depth`` words and need ``context_count`` occurrences, their listed next words ``next_count``. Words below WORD_SHARE,
+    and contexts and next words that aren't among the HOT most frequent, are scored by a join with all of them. Repeated
+    rows count and score one by one; an empty table gives no rows; other columns are not read.
     """
     shared.small_batches(docs.sparkSession)
     spark = docs.sparkSession
