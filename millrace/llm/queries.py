@@ -97,6 +97,47 @@ SQL: dict[str, str] = {
                sha256(unhex(kept.x)) AS kept_sha256, coalesce(n_repeated, 0)::BIGINT AS n_repeated
         FROM h JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
     """,
+    "op8_fingerprints": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+                   coalesce(lead(doc_id) OVER falling, first_value(doc_id) OVER falling) AS next_id,
+                   coalesce(lead(coalesce(text, '')) OVER falling, first_value(coalesce(text, '')) OVER falling) AS next_text
+            FROM documents WINDOW falling AS (ORDER BY doc_id DESC)
+        ), t AS MATERIALIZED (
+            SELECT doc_id, 0 AS edited, text FROM d UNION ALL SELECT doc_id, 1, left(text, n - n // 2) || left(next_text, n // 2) FROM d
+        ), bytes AS (
+            SELECT doc_id, edited, i, ('0x' || substring(x, 2 * i + 1, 2))::UBIGINT AS v FROM (SELECT doc_id, edited, hex(encode(text)) AS x, unnest(range(0, octet_length(encode(text)))) AS i FROM t)
+        ), five AS (
+            SELECT doc_id, edited, v AS a, lead(v, 1) OVER w AS b, lead(v, 2) OVER w AS c, lead(v, 3) OVER w AS d, lead(v, 4) OVER w AS e FROM bytes WINDOW w AS (PARTITION BY doc_id, edited ORDER BY i)
+        ), triplets AS (
+            SELECT doc_id, edited, unnest([a + b * 256 + c * 65536, a + b * 256 + d * 65536, a + c * 256 + d * 65536, a + c * 256 + e * 65536, a + b * 256 + e * 65536, a + d * 256 + e * 65536]) AS x,
+                   unnest([0, 2246822507, 4493645014, 6740467521, 8987290028, 11234112535]) AS salt
+            FROM five WHERE e IS NOT NULL
+        ), mixed AS (
+            SELECT doc_id, edited, ((x * 2654435761 + salt) % 4294967296)::UBIGINT AS x FROM triplets
+        ), counted AS (
+            SELECT doc_id, edited, (((xor(x, x >> 15) * 739982445) % 4294967296) >> 25)::INTEGER AS bucket, count(*) AS n FROM mixed GROUP BY ALL
+        ), counts AS (
+            SELECT t.doc_id, t.edited, octet_length(encode(t.text)) AS size, list(coalesce(c.n, 0) ORDER BY k) AS n
+            FROM t CROSS JOIN range(128) AS r(k) LEFT JOIN counted c ON c.doc_id = t.doc_id AND c.edited = t.edited AND c.bucket = k GROUP BY t.doc_id, t.edited, t.text
+        ), quartiles AS (
+            SELECT *, list_sort(n)[32] AS q1, list_sort(n)[64] AS q2, list_sort(n)[96] AS q3 FROM counts
+        ), digests AS (
+            SELECT doc_id, edited, [least(255, round(8 * log2(size + 1)))::INTEGER, (q1 * 15 // greatest(q3, 1))::INTEGER, (q2 * 15 // greatest(q3, 1))::INTEGER] AS head,
+                   list_transform(n, lambda m: (m > q1)::INTEGER + (m > q2)::INTEGER + (m > q3)::INTEGER) AS codes FROM quartiles
+        ), prints AS MATERIALIZED (
+            SELECT *, printf('%02x%x%x', head[1], head[2], head[3]) || list_aggregate(list_transform(range(1, 129, 4), lambda k: printf('%02x', codes[k] * 64 + codes[k + 1] * 16 + codes[k + 2] * 4 + codes[k + 3])), 'string_agg', '') AS fingerprint FROM digests
+        ), pairs AS (
+            SELECT d.doc_id, d.n, o.fingerprint, e.fingerprint AS edited_fingerprint, unnest([o.head, o.head]) AS mine_head, unnest([o.codes, o.codes]) AS mine, unnest([e.head, x.head]) AS other_head, unnest([e.codes, x.codes]) AS other, unnest([0, 1]) AS which
+            FROM d JOIN prints o ON o.doc_id = d.doc_id AND o.edited = 0 JOIN prints e ON e.doc_id = d.doc_id AND e.edited = 1 JOIN prints x ON x.doc_id = d.next_id AND x.edited = 0
+        ), gaps AS (
+            SELECT *, list_transform(range(1, 129), lambda k: abs(mine[k] - other[k])) AS gap, list_transform(range(1, 4), lambda k: abs(mine_head[k] - other_head[k])) AS head_gap FROM pairs
+        ), near AS (
+            SELECT *, 1 - least(300, list_sum(gap) + 3 * len(list_filter(gap, lambda g: g = 3)) + list_sum(list_transform(range(1, 4), lambda k: least(30, CASE WHEN head_gap[k] <= 1 THEN head_gap[k] ELSE (head_gap[k] - 1) * [1, 4, 4][k] END))))::DOUBLE / 300 AS likeness FROM gaps
+        )
+        SELECT near.doc_id, n::BIGINT AS n_chars, any_value(sha256(t.text)) AS edited_sha256, fingerprint, edited_fingerprint, max(likeness) FILTER (WHERE which = 0) AS near_edited, max(likeness) FILTER (WHERE which = 1) AS near_next
+        FROM near JOIN t ON t.doc_id = near.doc_id AND t.edited = 1 GROUP BY near.doc_id, n, fingerprint, edited_fingerprint
+    """,
     "op9_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, i AS nth, ls[i] AS line, len(ls) AS n_lines FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
