@@ -23,7 +23,8 @@ def group_states(arrivals: DataFrame, files_per_batch: int = FILES_PER_BATCH) ->
     """One row per digest after all arrivals: digest, keep_id, n_bytes of the kept content, group_size.
 
     ``arrivals`` (digest, doc_id, n_bytes) is written once and streamed in micro-batches. The state of a digest never
-    expires: it holds the digest, the identifier that stays and its content locator, and grows on disk, not on the heap.
+    expires: it holds the digest, the identifier that stays and its content locator (with digest and identifier, the length
+    in bytes finds the text again), and grows on disk, not on the heap.
     Each batch emits the digests that it changed; the last state of a digest is the one with the most arrivals.
     """
     spark = arrivals.sparkSession
@@ -83,7 +84,8 @@ def exact_duplicates(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) ->
     repeated = states.filter("group_size > 1")
     hits = shared.save(rows.withColumn("digest", digest).join(repeated, "digest"), "exact-hits")
     shares = F.ceil(F.col("group_size") / F.lit(COMPARED_TOGETHER)).cast("long")
-    holders = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "group_size").agg(F.min("text").alias("held_text"))
+    located = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.octet_length("text") == F.col("keep_bytes"))
+    holders = hits.filter(located).groupBy("digest", "group_size").agg(F.min("text").alias("held_text"))
     holders = holders.select("digest", "held_text", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
     spread = hits.select("digest", "text", F.pmod(F.xxhash64("doc_id"), shares).alias("share"))
     unequal = spread.join(holders, ["digest", "share"]).filter(F.col("text") != F.col("held_text"))
