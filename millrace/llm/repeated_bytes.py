@@ -27,8 +27,8 @@ LENGTH, LEAST, WINDOW, GRAM = 400, 224, 128, 8
 #: Bytes right of a trigger that every string of its run holds.
 CORE = LEAST + 1 - WINDOW
 
-#: Different contexts of one core that one task compares; a core with more has its single strings counted by a shuffle.
-OFTEN = 2_000
+#: Strings in the contexts of one core that one task sorts; a core with more has them counted by a shuffle.
+OFTEN = 1 << 17
 
 _ROW = "doc_id long, text_hash long"
 
@@ -99,8 +99,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, listed = batch.column("text")[i].as_buffer().to_pybytes(), batch.column("runs")[i].as_py()
             row = pa.array(np.full(len(listed), i))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(row), batch.column("text_hash").take(row), *(pa.array([r[k] for r in listed], pa.int64()) for k in ("core", "kinds", "times", "first", "last")), pa.array([raw[r["first"] : r["last"] + LENGTH] for r in listed], pa.binary())],
-                ["doc_id", "text_hash", "core", "kinds", "times", "first", "last", "context"],
+                [batch.column("doc_id").take(row), batch.column("text_hash").take(row), *(pa.array([r[k] for r in listed], pa.int64()) for k in ("core", "strings", "times", "first", "last")), pa.array([raw[r["first"] : r["last"] + LENGTH] for r in listed], pa.binary())],
+                ["doc_id", "text_hash", "core", "strings", "times", "first", "last", "context"],
             )
 
 
@@ -135,7 +135,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of starts, in contexts that stand once, of strings that another context of the same core has too.
 
-    Rows come in the order of their cores; a batch's last core waits for the next batch, and has OFTEN rows at most.
+    Rows come in the order of their cores; a batch's last core waits for the next batch, and has OFTEN strings at most.
     """
     held: pa.Table | None = None
     for batch in batches:
@@ -264,26 +264,27 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     seen = slots.bitmap(cores, "core")
     found = f"{_ROW}, core long, context long, first long, last long"
     contexts = shared.save(rows.mapInArrow(partial(_contexts, seen=seen), found), "repeat-contexts")
-    entries = contexts.groupBy("core", "context").agg(F.count(F.lit(1)).alias("times"))
-    kinds = entries.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
-    entries = shared.save(entries.join(kinds, "core").filter("times > 1 OR kinds > 1"), "repeat-entries")
+    entries = contexts.groupBy("core", "context").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("last") - F.col("first") + 1).alias("n"))
+    #: Strings of a core that has several contexts, 1 for any other.
+    strings = F.when(F.count(F.lit(1)) > 1, F.sum("n")).otherwise(1).cast("long")
+    entries = shared.save(entries.join(entries.groupBy("core").agg(strings.alias("strings")), "core").filter("times > 1 OR strings > 1").drop("n"), "repeat-entries")
     placed = contexts.join(entries, ["core", "context"])
     whole_runs = placed.filter("times > 1").select("doc_id", "text_hash", "first", "last", F.lit(LENGTH).cast("long").alias("length"))
 
     one = F.struct("doc_id", "text_hash", "first", "last")
-    several = placed.filter("times > 1 AND kinds > 1").groupBy("core", "context", "kinds", "times").agg(F.min(one).alias("one")).select("one.*", "core", "kinds", "times")
-    stands = placed.filter("times = 1").select("doc_id", "text_hash", "first", "last", "core", "kinds", "times").unionByName(several)
-    listed = stands.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last", "core", "kinds", "times")).alias("runs"))
+    several = placed.filter("times > 1 AND strings > 1").groupBy("core", "context", "strings", "times").agg(F.min(one).alias("one")).select("one.*", "core", "strings", "times")
+    stands = placed.filter("times = 1").select("doc_id", "text_hash", "first", "last", "core", "strings", "times").unionByName(several)
+    listed = stands.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last", "core", "strings", "times")).alias("runs"))
     listed = shared.save(listed, "repeat-listed")
     likely = rows.mapInArrow(partial(_only, rows=slots.bitmap(listed, "text_hash"), inside=True), whole)
     texts_of = likely.dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")
     dictionary = listed.join(texts_of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("doc_id", "text_hash", "text", "runs")
-    dictionary = dictionary.mapInArrow(_entries, f"{_ROW}, core long, kinds long, times long, first long, last long, context binary")
+    dictionary = dictionary.mapInArrow(_entries, f"{_ROW}, core long, strings long, times long, first long, last long, context binary")
     dictionary = shared.save(dictionary, "repeat-dictionary")
-    by_core = dictionary.filter(F.col("kinds") <= OFTEN).repartition("core").sortWithinPartitions("core")
+    by_core = dictionary.filter(F.col("strings") <= OFTEN).repartition("core").sortWithinPartitions("core")
     single = by_core.mapInArrow(_matched, f"{_ROW}, first long, last long, length long")
 
-    strings = dictionary.filter(F.col("kinds") > OFTEN).mapInArrow(_strings, f"{_ROW}, k1 long, k2 long, q1 long, q2 long, at long, times long")
+    strings = dictionary.filter(F.col("strings") > OFTEN).mapInArrow(_strings, f"{_ROW}, k1 long, k2 long, q1 long, q2 long, at long, times long")
     repeated = strings.groupBy("k1", "k2").agg(F.sum("times").alias("all_times")).filter("all_times > 1").select("k1", "k2")
     frequent = shared.save(strings.join(repeated, ["k1", "k2"]).drop("k1", "k2"), "repeat-frequent")
     longer = frequent.filter("q1 IS NOT NULL").groupBy("q1", "q2").agg(F.sum("times").alias("all_times")).filter("all_times > 1").select("q1", "q2")
